@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's documents fall into blocks by a keyed hash. A source's target is met by whole epochs of all its blocks
-plus the first blocks of a keyed permutation; the last of these is cut at the document where the words taken come
-closest to the target. The blocks to draw are quotas, one number for each source. A binary tree over the output shards parts the
+plus the blocks of a keyed permutation that still fit; the first that did not fit is then cut at the document where the
+words taken come closest to the target. The blocks to draw are quotas, one number for each source. A binary tree over the output shards parts the
 quota vector at each node by a multivariate hypergeometric draw (seeded by the node's place), down to a vector for each
 shard; shards then take disjoint runs of each source's permuted blocks, and order their rows by a keyed hash.
 
@@ -105,14 +105,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED)
         whole = int(want[i] // size[i]) if size[i] else 0
         units = [(b, e) for e in range(whole) for b in perm]
         need = want[i] - whole * size[i]
+        over = None
         for b in perm if need else []:
             n = words_in.get((i, b), 0)
-            if n > need:
-                cuts.append((i, b, whole, float(need)))
+            if n <= need:
+                need -= n
                 units.append((b, whole))
-                break
-            need -= n
-            units.append((b, whole))
+            elif over is None:
+                over = b
+        if over is not None and need:
+            cuts.append((i, over, whole, float(need)))
+            units.append((over, whole))
         draws.append(units)
     share = split_tree(np.array([len(u) for u in draws]), shards, seed) if names else np.zeros((1, 0), np.int64)
     at = [np.repeat(np.arange(shards), share[:, i]).tolist() for i in range(len(names))]
