@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, mixing, quality, simhash, sql
+from . import debruijn, decontaminate, lines, mixing, quality, simhash, sql, suffix_array
 from .common import table
 
 
@@ -27,12 +27,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.byte_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.word_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_quality_rules, op5_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_quality_rules, op5_simhash, op7_suffix_array, op8_debruijn, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
