@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, decontaminate, lines, mixing, quality, simhash, sql, suffix_array
+from . import debruijn, decontaminate, lines, mixing, quality, quality_model, simhash, sql, suffix_array
 from .common import table
 
 
@@ -35,12 +35,16 @@ def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.word_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_quality_rules, op5_simhash, op7_suffix_array, op8_debruijn, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_quality_rules, op5_simhash, op7_suffix_array, op8_debruijn, op9_quality_model, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -86,12 +86,12 @@ def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return _BYTE[data], offsets
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in texts data[offsets[i]:offsets[i+1]], and the texts' offsets in words."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in texts data[offsets[i]:offsets[i+1]], and the texts' offsets in words. ``gap``: by byte, whether it parts words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~gap[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first, last = inside.copy(), inside.copy()
