@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, decontaminate, lines, mixing, quality, quality_model, simhash, sql, suffix_array
+from . import debruijn, decontaminate, lines, mixing, pii, quality, quality_model, simhash, sql, suffix_array, toxicity
 from .common import table
 
 
@@ -23,10 +23,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonym_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.byte_digest(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_quality_rules, op5_simhash, op7_suffix_array, op8_debruijn, op9_quality_model, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_quality_rules, op4_pii, op5_simhash, op6_toxicity, op7_suffix_array, op8_debruijn, op9_quality_model, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
