@@ -4,12 +4,284 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..model import REQUEST, SPEECH_RESPONSE
+from ..operators import batching, choose, dedup, intervals, merge, speech
+from ..providers import FakeTranslator, Transcriber
+from ..sources import media as media_source
+from ..sources import subtitles
+from . import adapters, pipelines, sql
+from .adapters import table
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _queries[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.ORACLE
+
+
+@query
+def q01_format_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", fn.format_timestamp(F.col("value") * 60).alias("stamp"))
+
+
+@query
+def q02_parse_ts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = q01_format_ts(spark, sf_dir)
+    wrong = F.when(F.col("event_id") % 2 == 0, F.lit("1:2:3:4")).otherwise(F.concat(F.lit("a:"), "stamp"))
+    short = F.substring("stamp", 4, 100)
+    bad = F.when(F.col("event_id") % 2 == 0, fn.clock_seconds(wrong)).otherwise(fn.clock_seconds(F.lit("x:10")))
+    return t.select("event_id", fn.srt_seconds("stamp").alias("srt_seconds"), fn.srt_seconds(short).alias("short_seconds"), bad.alias("wrong_seconds"))
+
+
+@query
+def q03_srt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.render_srt(adapters.conversation_segments(spark, sf_dir))
+
+
+@query
+def q04_srt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.parse_srt(q03_srt_render(spark, sf_dir))
+
+
+def _vtt_time(c: str) -> Column:
+    return F.replace(fn.format_timestamp(c), F.lit(","), F.lit("."))
+
+
+@query
+def q05_vtt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered with a note, settings, and cues without a time or with a bad one."""
+    seg = adapters.conversation_segments(spark, sf_dir)
+    kind = F.col("idx") % 7
+    line = F.when(kind == 3, F.concat(_vtt_time("start"), F.lit(" --> x1:00"))).when(kind == 5, F.lit("no time here")).otherwise(F.concat(_vtt_time("start"), F.lit(" --> "), _vtt_time("end"), F.lit(" align:start position:0%")))
+    cues = seg.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.concat(line, F.lit("\n"), "text").alias("block")))).alias("cues"))
+    files = cues.select("media_id", F.concat(F.lit("WEBVTT\n\nNOTE made here\n\n"), F.array_join(F.transform("cues", lambda x: x["block"]), "\n\n")).alias("content"))
+    return subtitles.parse_vtt(files)
+
+
+@query
+def q06_bilingual_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = adapters.conversation_segments(spark, sf_dir)
+    out = merge.merge_within(seg, top=F.col("role") == "assistant", bottom=F.col("role") == "user")
+    return out.withColumn("start_stamp", fn.format_timestamp("start"))
+
+
+@query
+def q07_freq_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.drop_frequent(adapters.line_segments(spark, sf_dir)).select("media_id", "idx", "text")
+
+
+@query
+def q08_run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.collapse_runs(adapters.line_segments(spark, sf_dir)).select("media_id", "idx", "text")
+
+
+@query
+def q09_filter_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.filter_hallucinations(adapters.line_segments(spark, sf_dir)).select("media_id", "idx", "text")
+
+
+@query
+def q10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicate_starts(adapters.event_segments(spark, sf_dir), 4 * 3600.0).select("media_id", "idx", "start", "text")
+
+
+@query
+def q11_gap_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.speech_segments(*adapters.silences(spark, sf_dir))
+
+
+def _spans(spark: SparkSession, sf_dir: str, start: Column) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("media_id"), start.alias("start_ms"), (start + F.col("n_chars") * 100).alias("end_ms"))
+
+
+@query
+def q12_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlapping_windows(_spans(spark, sf_dir, F.lit(0).cast("bigint")), 60_000).select("media_id", "w_start", "w_end")
+
+
+@query
+def q13_split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.split_long(_spans(spark, sf_dir, F.col("doc_id") * 1000), intervals.GOOGLE_MAX_MS).select("media_id", "w_start", "w_end")
+
+
+@query
+def q14_equal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), (F.col("n_chars") * 20_000).alias("size"), (F.col("n_chars") / F.lit(15.0)).alias("duration"))
+    return intervals.equal_parts(files).select("media_id", "part", "n_parts", "part_start", "part_seconds")
+
+
+def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.batches(adapters.line_segments(spark, sf_dir))
+
+
+@query
+def q15_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(spark, sf_dir).select("media_id", "idx", "batch_no", "local_id")
+
+
+@query
+def q16_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.batch_context(_batched(spark, sf_dir))
+
+
+@query
+def q17_request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = batching.requests(_batched(spark, sf_dir))
+    back = r.select("media_id", "batch_no", "request", F.from_json("request", REQUEST).alias("r"))
+    seg = F.col("r.segments_to_translate")
+    context = F.col("r.previous_context_for_reference_only")
+    has = F.contains("request", F.lit('"previous_context_for_reference_only":'))
+    return back.select("media_id", "batch_no", has.alias("has_context"), context.alias("context"), F.size(seg).alias("n_segments"), F.get(seg, F.size(seg) - 1)["id"].cast("bigint").alias("last_id"), F.get(seg, F.lit(0))["text"].alias("first_text"), F.get(seg, F.size(seg) - 1)["text"].alias("last_text"))
+
+
+@query
+def q18_realign_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers lack every fifth id and give another twice; a second question helps with half of the missing."""
+    from ..providers import ask_batches
+
+    parts = _batched(spark, sf_dir)
+    got = batching.answers(ask_batches(batching.requests(parts), FakeTranslator, attempts=1))
+    second = F.when(F.col("local_id") % 10 == 3, F.when(fn.strip("text") != "", F.concat(F.lit("("), "text", F.lit(")"))))
+    return batching.realign(parts, got, second).select("media_id", "idx", "start", "end", "from_batch", "text")
+
+
+@query
+def q19_word_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = speech.pack_words(adapters.document_words(spark, sf_dir))
+    return speech.onto_timeline(lines, F.lit(0.0), repair=True)
+
+
+@query
+def q20_offset_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("idx"), (F.length(F.coalesce("text", F.lit(""))) * 66).cast("bigint").alias("dur"))
+    out = intervals.running_offset(c, "dur", "idx")
+    return out.select("media_id", "idx", F.col("offset").alias("offset_ms"), (F.lit(0.5) + F.col("offset") / F.lit(1000.0)).alias("start"))
+
+
+@query
+def q21_pick_subtitle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    codes = d.groupBy(F.col("source").alias("media_id"), F.col("lang").alias("code")).agg(F.min("doc_id").alias("pos"))
+    target = F.when(F.ascii(F.right("media_id", F.lit(1))) % 2 == 0, F.lit("de")).otherwise(F.lit("Simplified Chinese"))
+    return choose.pick_subtitle(codes, target)
+
+
+@query
+def q22_sanitize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", fn.file_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+
+
+@query
+def q23_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.event_segments(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "event_type"), "idx")
+    w = Window.partitionBy("media_id").orderBy("idx")
+    n = (F.row_number().over(w) - 1).alias("n")
+    starts = e.where("event_type = 'error'").select("media_id", n, F.col("start").alias("s"))
+    ends = e.where("event_type = 'signup'").select("media_id", n, F.col("start").alias("e"))
+    return media_source.positional_zip(starts, ends, adapters.silences(spark, sf_dir)[1])
+
+
+@query
+def q24_coalesce_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    env = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit("env"))
+    file = F.when(k % 2 == 0, F.lit("file")).otherwise(F.lit(""))
+    short = F.when(F.col("event_type") == "view", F.lit("th")).when(F.col("event_type") == "click", F.lit("ja")).when(F.col("event_type") == "signup", F.lit("zh")).when(F.col("event_type") == "error", F.lit("xx"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(fn.first_set(env, file), F.lit("default")).alias("setting"), F.coalesce(fn.speech_code(short), F.lit("en-US")).alias("code"))
+
+
+@query
+def q25_first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("m"), F.col("page_id") % 40)
+    ext = F.get(F.array(*[F.lit(x) for x in (*media_source.AUDIO_EXTENSIONS, ".txt")]), (F.col("page_id") * 7 % 6).cast("int"))
+    files = table(spark, sf_dir, "pages").select(F.concat(key, F.lit("/"), "page_id", ext).alias("path"), (F.col("page_id") % 3).alias("length"))
+    return media_source.cached_audio(files, F.get(F.split("path", "/"), F.lit(0)))
+
+
+@query
+def q26_percent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    number = lambda n: F.concat((i % n).cast("string"), F.lit("."), (i % 10).cast("string"))
+    kind = i % 5
+    raw = F.when(kind == 2, F.lit(" x% ")).when(kind == 3, F.lit(" \x1b[0mN/A%")).when(kind == 4, F.lit("\x1b[0;94m  \x1b[0m")).otherwise(F.concat(F.lit("\x1b[0;94m "), number(101), F.lit("%\x1b[0m")))
+    took = F.when(kind == 3, F.lit(None).cast("string")).when(kind == 4, F.lit("soon")).otherwise(F.concat(number(60), F.lit("s")))
+    return table(spark, sf_dir, "events").select("event_id", fn.clean_percent(raw).alias("percent_text"), fn.percent_value(fn.clean_percent(raw)).alias("percent"), fn.duration_text(took).alias("duration"))
+
+
+@query
+def q27_asr_json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as a speech service's JSON, 20 a result, with a second alternative and an empty result, and back."""
+    ms = lambda c: (F.col(c) * 1000 + 0.5).cast("bigint")
+    clock = lambda c: F.format_string("%d.%03ds", F.floor(ms(c) / 1000).cast("bigint"), F.pmod(ms(c), F.lit(1000)))
+    w = adapters.document_words(spark, sf_dir).select("media_id", "seg_index", "pos", F.struct("word", clock("start").alias("startTime"), clock("end").alias("endTime")).alias("w"))
+    results = w.groupBy("media_id", "seg_index", F.floor(F.col("pos") / 20).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("words"))
+    other = F.struct(F.lit("other").alias("transcript"), F.slice("words", F.lit(1), F.lit(1)).alias("words"))
+    first = F.struct(F.lit("first").alias("transcript"), F.col("words"))
+    body = results.groupBy("media_id", "seg_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", F.array(first, other).alias("alternatives")))), lambda x: F.struct(x["alternatives"].alias("alternatives"))).alias("results"))
+    hollow = F.from_json(F.lit('[{"alternatives":[{"transcript":"no words"}]}]'), "array<struct<alternatives:array<struct<transcript:string,words:array<struct<word:string,startTime:string,endTime:string>>>>>>")
+    texts = body.select("media_id", "seg_index", F.to_json(F.struct(F.concat("results", hollow).alias("results"))).alias("json"))
+    return speech.timed_words(texts.select("media_id", "seg_index", F.from_json("json", SPEECH_RESPONSE).alias("response")))
+
+
+class _TurnsHeard:
+    """Hears the turns whose starts lie in a window; made from rows of one table, for the end-to-end query."""
+
+    def __init__(self, turns: dict[int, list[tuple[int, int, str]]]):
+        self.turns = turns
+
+    def window(self, media_id: int, start_ms: int, end_ms: int) -> list[dict]:
+        return [{"start": (s - start_ms) / 1000.0, "end": (s - start_ms + d) / 1000.0, "text": t} for s, d, t in self.turns.get(media_id, ()) if start_ms <= s < end_ms]
+
+
+@query
+def q28_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, a fake speech service, overlaps removed, texts filtered, translated, merged."""
+    seg = adapters.conversation_segments(spark, sf_dir)
+    recordings = seg.groupBy("media_id").agg((F.max(F.round(F.col("end") * 1000).cast("bigint")) / F.lit(1000.0)).alias("duration")).where("duration > 0")
+    windows = pipelines.recording_windows(recordings, None, 20_000)
+    heard = heard_turns(windows, seg)
+    text = pipelines.clean_transcript(heard)
+    from ..providers import translate
+
+    return merge.positional_merge(text, translate(text, FakeTranslator, pause=0.0))
+
+
+def heard_turns(windows: DataFrame, turns: DataFrame) -> DataFrame:
+    """What ``transcribe`` returns for a service that hears turns: the turns travel with the windows of their recording."""
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    per = turns.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct(ms("start").alias("s"), (ms("end") - ms("start")).alias("d"), "text"))).alias("turns"))
+
+    def over(parts):
+        import pandas as pd
+
+        for p in parts:
+            rows = []
+            for r in p.itertuples(index=False):
+                service: Transcriber = _TurnsHeard({r.media_id: [(x["s"], x["d"], x["text"]) for x in r.turns]})
+                rows += [(r.media_id, r.seg_index, k, r.start_ms / 1000.0 + x["start"], r.start_ms / 1000.0 + x["end"], x["text"]) for k, x in enumerate(service.window(r.media_id, r.start_ms, r.end_ms))]
+            yield pd.DataFrame(rows, columns=["media_id", "seg_index", "pos", "start", "end", "text"])
+
+    return windows.join(per, "media_id").mapInPandas(over, "media_id long, seg_index int, pos int, start double, end double, text string")
+
+
+@query
+def q29_silence_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector's log lines made from events, parsed and zipped."""
+    e = table(spark, sf_dir, "events").where("event_type in ('error', 'view', 'click')")
+    at = (F.col("event_id") % 100_000).cast("string")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("[silencedetect @ 0x1] silence_start: "), at, F.lit(".5"))).when(F.col("event_type") == "view", F.concat(F.lit("[silencedetect @ 0x1] silence_end: "), at, F.lit(".25 | silence_duration: 1"))).otherwise(F.lit("  Duration: 01:02:03.50, start: 0.0"))
+    return media_source.silence_log(e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("pos"), line.alias("line")))[0]
