@@ -87,6 +87,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_k": k, "_v": v})
 
 
+def slim(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, text and ``keep``, and all other columns out of the way in the struct ``_rest``, so that no name can clash."""
+    own = ["doc_id", "text", *keep]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def restored(out: DataFrame, columns: list[str], *keep: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that ``slim`` was given, then ``extra``; of one name, the extra one."""
+    own = ["doc_id", "text", *keep]
+    return out.select(*[F.col(c) if c in own else F.col("_rest").getField(c).alias(c) for c in columns if c not in extra], *extra)
+
+
+def passed(schema, *names: str) -> str:
+    """DDL of these columns of a schema."""
+    return ", ".join(f"`{n}` {schema[n].dataType.simpleString()}" for n in names)
+
+
 def text_of(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

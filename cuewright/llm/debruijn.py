@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed
+from .common import keyed, passed, restored, slim
 from .superkmers import Prefix, each_with_spans, grouped, repeats, settle_windows, span_rows, word_tokens
 
 WINDOW, MINIMIZER = 20, 6
@@ -81,7 +81,6 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeated_words(docs: DataFrame) -> DataFrame:
     """``docs``; a text that loses words comes back as its other words with one space between them."""
-    d = keyed(docs)
-    rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["text string"])
-    return span_rows(d, repeated_words(d)).select(*rest, "text", "_spans").mapInArrow(_without, schema).select(*docs.columns)
+    d = keyed(slim(docs))
+    both = span_rows(d, repeated_words(d)).select("doc_id", "_rest", "text", "_spans")
+    return restored(both.mapInArrow(_without, passed(both.schema, "doc_id", "_rest", "text")), docs.columns)

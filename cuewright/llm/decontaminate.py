@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, let, settle, text_of
+from .common import ascii_lower, keyed, let, restored, settle, slim, text_of
 
 WINDOW = 10
 MAX_BROADCAST = 1_000_000
@@ -99,12 +99,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "document", win
     """``docs`` without the contaminated documents (mode "document") or without the words that are hit (mode "span")."""
     if mode not in ("document", "span"):
         raise ValueError(f"mode {mode!r}")
-    found, _ = verified_hits(keyed(docs), items, window)
+    found, _ = verified_hits(keyed(slim(docs)), items, window)
     if mode == "document":
-        return found.where(F.size("_hits") == 0).select(*docs.columns)
+        return restored(found.where(F.size("_hits") == 0), docs.columns)
     hit = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
     said = F.regexp_extract_all(text_of(), F.lit(f"({WORD})"), F.lit(1))
     # Gap 0, then each word (unless hit) with the gap behind it. Hits as a map: one look-up for each word.
     gaps = F.split(text_of(), WORD)
     lost = let(F.map_from_arrays(hit, F.transform(hit, lambda _: F.lit(True))), lambda m: let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(said, lambda x, i: F.concat(F.when(F.try_element_at(m, i).isNull(), x).otherwise(""), F.get(g, i + 1))), ""))))
-    return found.withColumn("text", F.when(F.size("_hits") == 0, F.col("text")).otherwise(lost)).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("_hits") == 0, F.col("text")).otherwise(lost)).transform(restored, docs.columns)

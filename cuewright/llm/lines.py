@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, keyed, settle, small_batches, text_of
+from .common import SPACE_CHARS, ascii_lower, keyed, passed, restored, settle, slim, small_batches, text_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: A run with more rows than this is settled by the combined count instead of being held in memory.
@@ -166,9 +166,8 @@ def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` without its repeated lines; only texts that lose lines go through Python."""
-    d = keyed(docs)
-    both = d.join(keep_bitmaps(d, min_chars, min_docs), ["_k", "_v"], "left")
-    rest = [c for c in docs.columns if c not in ("text", "_keep", "_upto")]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["n_lines long, n_dropped long, text string"])
-    return both.select(*rest, "text", "_keep", "_upto").mapInArrow(_applied(True), schema).select(*docs.columns)
+    """``docs`` without its repeated lines."""
+    d = keyed(slim(docs))
+    both = d.join(keep_bitmaps(d, min_chars, min_docs), ["_k", "_v"], "left").select("doc_id", "_rest", "text", "_keep", "_upto")
+    out = both.mapInArrow(_applied(True), passed(both.schema, "doc_id", "_rest") + ", n_lines long, n_dropped long, text string")
+    return restored(out, docs.columns)

@@ -21,10 +21,10 @@ import math
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_of, words
+from .common import restored, settle, slim, text_of, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -124,8 +124,6 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED)
     if cuts:
         cut = spark.createDataFrame([(i, b, need) for i, b, _, need in cuts], "src int, block int, need double")
         equal = placed.join(F.broadcast(cut), ["src", "block"]).groupBy("src", "need", "_h").agg(F.sum("_size").alias("n"))
-        from pyspark.sql import Window
-
         run = F.sum("n").over(Window.partitionBy("src").orderBy("_h"))
         bound = {r.src: r.upto for r in equal.withColumn("run", run).where("2 * run - n <= 2 * need").groupBy("src").agg(F.max("_h").alias("upto")).collect()}
     is_cut = {(i, b, e) for i, b, e, _ in cuts}
@@ -151,8 +149,6 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """``docs``, a row for each copy drawn, with ``shard`` and ``copy``; shards lie together, each in a keyed random order."""
     known, drawn, _ = plan(docs, weights, seed)
-    clash = [c for c in docs.columns if c in ("shard", "copy", "src", "block", "draws", "n_blocks", "source_size", "target", "upto")]
-    held = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    out = _rows(sized(held, seed), known, drawn).withColumn("_d", F.explode("draws")).withColumn("_order", F.xxhash64("_h", F.col("_d.copy"), F.lit(seed + 1)))
-    out = out.withColumn("shard", F.col("_d.shard")).repartition("shard").sortWithinPartitions("shard", "_order")
-    return out.select(*[F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns if c not in ("shard", "copy")], "shard", F.col("_d.copy").alias("copy"))
+    out = _rows(sized(slim(docs, "source"), seed), known, drawn).withColumn("_d", F.explode("draws")).withColumn("_order", F.xxhash64("_h", F.col("_d.copy"), F.lit(seed + 1)))
+    out = out.withColumns({"shard": F.col("_d.shard"), "copy": F.col("_d.copy")}).repartition("shard").sortWithinPartitions("shard", "_order")
+    return restored(out, docs.columns, "source", extra=("shard", "copy"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import passed, restored, slim, small_batches
 
 ROUNDS = 8
 #: For tests and the query; in production pass a secret one.
@@ -267,10 +267,9 @@ def _mapped(key: bytes, back: bool):
 def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` (``back``: with the values again), and ``pii``: kind, start, end of each in the old text."""
     small_batches(docs.sparkSession)
-    cols = [c for c in docs.columns if c not in ("text", "pii")]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols] + ["text string", "pii array<struct<kind:string,start:int,end:int>>"])
-    out = docs.select(*cols, "text").mapInArrow(_mapped(key, back), schema)
-    return out.select(*[c for c in docs.columns if c != "pii"], "pii")
+    d = slim(docs)
+    out = d.select("doc_id", "_rest", "text").mapInArrow(_mapped(key, back), passed(d.schema, "doc_id", "_rest", "text") + ", pii array<struct<kind:string,start:int,end:int>>")
+    return restored(out, docs.columns, extra=("pii",))
 
 
 def pseudonym_rows(docs: DataFrame, key: bytes = KEY) -> DataFrame:

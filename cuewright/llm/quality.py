@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of, words
+from .common import let, restored, slim, text_of, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -126,4 +126,4 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    return quality_rules(docs, rules).where("kept").select(*[docs[c] for c in docs.columns])
+    return restored(quality_rules(slim(docs), rules).where("kept"), docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower, keyed, let, settle, small_batches, text_of, words
+from .common import NULL_ID, ascii_lower, keyed, let, restored, settle, slim, small_batches, text_of, words
 from .components import components
 
 RADIUS = 3
@@ -244,10 +244,10 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest doc_id, in one copy."""
-    d = keyed(docs)
+    d = keyed(slim(docs))
     found = near_duplicates(d.select("doc_id", "text", "_k", "_v")).where("_k = component").select("_k", "_v")
     first = found.groupBy("_k").agg(F.min("_v").alias("_v"))
     kept = d.join(first, ["_k", "_v"])
     if d.select("_v").where("_v <> 0").limit(1).count():  # rows of one doc_id with one text: keep one
         kept = kept.dropDuplicates(["_k", "_v"])
-    return kept.select(*[kept[c] for c in docs.columns])
+    return restored(kept, docs.columns)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed
+from .common import keyed, passed, restored, slim
 from .superkmers import _BYTE, Prefix, each_with_spans, grouped, repeats, settle_windows, span_rows
 
 WINDOW, MINIMIZER = 100, 32
@@ -184,7 +184,6 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text``."""
-    d = keyed(docs)
-    rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["text string"])
-    return span_rows(d, repeated_bytes(d)).select(*rest, "text", "_spans").mapInArrow(_without, schema).select(*docs.columns)
+    d = keyed(slim(docs))
+    both = span_rows(d, repeated_bytes(d)).select("doc_id", "_rest", "text", "_spans")
+    return restored(both.mapInArrow(_without, passed(both.schema, "doc_id", "_rest", "text")), docs.columns)
