@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": sql.OP1, "op10_line_dedup": sql.OP10}
+    return {"op1_decontaminate": sql.OP1, "op3_quality_rules": sql.op3(quality.STOP_WORDS), "op7_suffix_array": sql.OP7, "op8_debruijn": sql.OP8, "op10_line_dedup": sql.OP10}
