@@ -102,7 +102,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     unsure = found.where("open")
     # A document is one for each (hash, _k): the first aggregation drops its repeats, the second counts; both combine before they shuffle.
     counts = unsure.groupBy("h1", "h2", "_k").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.sum("one").alias("docs"), F.max("_k").alias("last")).where(F.col("docs") >= min_docs)
-    late = unsure.join(counts, ["h1", "h2"]).where(F.col("_k") != F.col("last"))
+    # Read back from a table, both sides of the join are plain exchanges, of which adaptive execution splits a skewed one.
+    late = unsure.join(settle(counts, "line-counts"), ["h1", "h2"]).where(F.col("_k") != F.col("last"))
     return found.where("not open").select("_k", "_v", "pos").unionByName(late.select("_k", "_v", "pos"))
 
 
