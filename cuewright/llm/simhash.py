@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = grouped.groupBy("root").agg(F.min("least").alias("component"))
     named = grouped.join(names, "root").select("fp", "component")
     # Each point's least id, or its component's; a fingerprint with very many documents is split by the skew join.
-    final = points.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    final = settle(points.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
     return prints.join(final, "fp").select("doc_id", "_k", "_v", "fp", "component")
 
 
