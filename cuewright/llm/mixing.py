@@ -7,7 +7,7 @@ quota vector at each node by a multivariate hypergeometric draw (seeded by the n
 shard; shards then take disjoint runs of each source's permuted blocks, and order their rows by a keyed hash.
 
 The driver holds one row for each source (at most ``MAX_SOURCES``, else an error) and for each block (at most
-``MAX_BLOCKS`` and one a source); all else stays in Spark. Reruns agree: everything follows from the seed and the rows.
+``MAX_BLOCKS`` and one a source), and shards x sources numbers (at most ``MAX_CELLS``); all else stays in Spark. Reruns agree: everything follows from the seed and the rows.
 
 Null and empty texts have size 0 and are taken 0 words; a source of size 0 has target 0. The null source comes last.
 Documents hash by id and text, so null ids spread and equal rows are drawn alike. An empty table gives an empty result.
@@ -28,8 +28,8 @@ from .common import restored, settle, slim, text_of, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-MAX_SOURCES, MAX_BLOCKS, MAX_SHARDS = 65_536, 65_536, 4_096
-WORDS_PER_SHARD, BLOCKS_PER_SHARD, LEAST_BLOCKS = 4_000_000, 16, 1_024
+MAX_SOURCES, MAX_BLOCKS, MAX_SHARDS, MAX_CELLS = 65_536, 131_072, 16_384, 8_000_000
+WORDS_PER_SHARD, BLOCKS_PER_SHARD, LEAST_BLOCKS = 1_000_000, 8, 1_024
 SEED = 20_240_229
 
 
@@ -91,7 +91,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED)
     rows = sorted(((r.source, r.n) for r in by_source.collect()), key=lambda r: (r[0] is None, r[0] or ""))
     names, size = [r[0] for r in rows], [int(r[1]) for r in rows]
     total, want = sum(size), targets([int(r[1]) for r in rows], weights)
-    shards = min(MAX_SHARDS, max(1, math.ceil(total / WORDS_PER_SHARD)))
+    shards = min(MAX_SHARDS, max(1, MAX_CELLS // max(n, 1)), max(1, math.ceil(total / WORDS_PER_SHARD)))
     aim = min(MAX_BLOCKS, max(LEAST_BLOCKS, BLOCKS_PER_SHARD * shards))
     n_blocks = [max(1, aim * s // max(total, 1)) for s in size]
     # Numbers stand for sources in all that follows; the null source has one too.
