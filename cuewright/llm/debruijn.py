@@ -1,10 +1,10 @@
 """Removal of words that an earlier 20-word window covers, on a compacted de Bruijn graph.
 
 A 20-word window is an edge between its first and its last 19 words. Edges in a row that share a minimizer are compacted
-on the spot into one path (``superkmers``); equal paths of the corpus are joined into classes, and a class of two
-or more is a repeated path, all of it at once. Where a minimizer lies on several paths, these may share some edges
-only: they are opened into single edges, equal edges are joined, and the source coordinates of the first stay.
-Documents get back their removed runs of edges, merged into spans by their coordinates.
+on the spot into one short path (``superkmers``); equal ones of the corpus are joined into classes. Classes that always follow
+each other are compacted into repeated nonbranching paths, which lose every occurrence but the first at once. Where a
+minimizer lies on several short paths, these may share some edges only: they are opened into single edges, equal edges are
+joined, and the source coordinates of the first stay. Documents get back their removed spans by their coordinates.
 
 Null and empty texts have no words. A null doc_id is the smallest. Rows of one doc_id with unlike texts are ordered
 among themselves by a hash of the text; rows alike in both are one document and get equal results. An empty table
@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import keyed, passed, restored, slim
-from .superkmers import Prefix, each_with_spans, grouped, repeats, settle_windows, span_rows, word_tokens
+from .common import NULL_ID, keyed, passed, restored, settle, slim, small_batches
+from .superkmers import Prefix, classes_of, each_with_spans, grouped, later_ones, occurrences, opened, settle_windows, span_rows, word_tokens
 
 WINDOW, MINIMIZER = 20, 6
-PART = 1 << 22
+PART = 1 << 20
 
 
 def _open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +45,58 @@ def _open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle_windows(part, group, row, at - offset[row], w1, w2, WINDOW)
 
 
+def linked_classes(found: DataFrame) -> DataFrame:
+    """Classes of minimizer paths with what follows and precedes them: ``after`` and ``before`` (h, c), null unless it is
+    the same one at every occurrence."""
+    w = Window.partitionBy("_k", "_v").orderBy("at")
+    start, size = F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(0xFFFF))
+    near = found.withColumns({"_end": start + size, "_start": start})
+    follows, precedes = F.lead("_start").over(w) == F.col("_end"), F.lag("_end").over(w) == F.col("_start")
+    near = near.withColumns({f"{x}{y}": F.when(cond, f(y).over(w)) for x, cond, f in (("a", follows, F.lead), ("b", precedes, F.lag)) for y in ("h", "c")})
+    aggs = [f(f"{x}{y}").alias(f"{x}{y}_{name}") for x in "ab" for y in "hc" for name, f in (("min", F.min), ("max", F.max))]
+    classes = classes_of(near, *aggs, F.count("ah").alias("a_n"), F.count("bh").alias("b_n"))
+    same = lambda x: (F.col(f"{x}_n") == F.col("n")) & (F.col(f"{x}h_min") == F.col(f"{x}h_max")) & (F.col(f"{x}c_min") == F.col(f"{x}c_max"))
+    one = lambda x: F.when(same(x), F.struct(F.col(f"{x}h_min").alias("h"), F.col(f"{x}c_min").alias("c")))
+    return classes.select("h", "c", "first", "n", one("a").alias("after"), one("b").alias("before"))
+
+
+def compact_paths(classes: DataFrame) -> DataFrame:
+    """Repeated nonbranching paths: h, c of the first class, its first occurrence, length in windows, n occurrences; settled.
+
+    Where two classes always follow each other their first occurrences do too, so a path is a run of
+    first occurrences in one document, and a window over the source coordinates finds it without walking along the links.
+    """
+    rows = classes.where("n > 1").withColumns({"_k": F.col("first._k"), "_v": F.col("first._v"), "at": F.col("first.at"), "me": F.struct("h", "c")})
+    size, start = F.col("at").bitwiseAND(F.lit(0xFFFF)), F.shiftright("at", 16)
+    rows = rows.withColumns({"size": size, "start": start})
+    w = Window.partitionBy("_k", "_v").orderBy("at")
+    back = lambda c: F.lag(c).over(w)
+    joined = (back("me") == F.col("before")) & (back("after") == F.col("me")) & (back(F.col("start") + F.col("size")) == F.col("start")) & (back("n") == F.col("n"))
+    rows = rows.withColumn("new", (~F.coalesce(joined, F.lit(False))).cast("int"))
+    rows = rows.withColumn("path", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    head = F.when(F.col("new") == 1, F.struct("h", "c", "first"))
+    paths = rows.groupBy("_k", "_v", "path").agg(F.first(head, ignorenulls=True).alias("head"), F.sum("size").alias("length"), F.first("n").alias("n"))
+    return settle(paths.select("head.h", "head.c", "head.first", "length", "n"), "paths")
+
+
+def _paths(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    small_batches(docs.sparkSession)
+    found = occurrences(docs, "word", WINDOW, MINIMIZER)
+    classes = linked_classes(found)
+    return found, classes, compact_paths(classes)
+
+
 def repeated_words(docs: DataFrame) -> DataFrame:
     """_k, _v, start, end of word ranges to remove (overlapping). ``docs`` as ``keyed`` gives it."""
-    return repeats(docs, "word", WINDOW, MINIMIZER, _open_up)
+    found, classes, paths = _paths(docs)
+    return later_ones(found, paths, WINDOW).unionByName(opened(docs, classes, "word", WINDOW, _open_up))
+
+
+def repeated_paths(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end (in words) of the first occurrence of each repeated nonbranching path, and its number of copies."""
+    _, _, paths = _paths(keyed(docs.select("doc_id", "text")))
+    start = F.shiftright("first.at", 16)
+    return paths.select(F.when(F.col("first._k") != NULL_ID, F.col("first._k")).alias("doc_id"), start.alias("start"), (start + F.col("length") - 1 + WINDOW).alias("end"), F.col("n").alias("copies"))
 
 
 def kept_words(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], int]:

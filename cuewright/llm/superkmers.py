@@ -181,35 +181,57 @@ def _widen(df: DataFrame) -> DataFrame:
     return df.withColumns({"start": F.shiftright("at", 16), "windows": F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int")})
 
 
-def repeats(docs: DataFrame, unit: str, window: int, k: int, open_up) -> DataFrame:
-    """_k, _v, start, end of token ranges that lose (overlapping; several a document). ``docs`` as ``keyed`` gives it.
-
-    ``open_up(rows)`` gets an iterator of (group, _k, _v, start, windows, text bytes of the range) batches and yields
-    losers (open false: _k, _v, start, end) and, of minimizers in several blocks, first windows (open true, with w1, w2).
-    """
-    small_batches(docs.sparkSession)
+def occurrences(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
+    """h, c, _k, _v, at of the super-k-mers whose minimizer the corpus has at least twice; settled."""
     own = docs.select("_k", "_v", "text")
     again = settle(own.mapInArrow(super_kmers(unit, window, k, False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "minimizers")
     found = own.mapInArrow(super_kmers(unit, window, k, True), "h long, c long, _k long, _v long, at long")
-    found = settle(found.join(again, "h"), "super-kmers")
-    classes = settle(found.groupBy("h", "c").agg(F.min(F.struct("_k", "_v", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    late = found.join(classes.where("n > 1").select("h", "c", "first"), ["h", "c"]).where(F.struct("_k", "_v", "at") != F.col("first"))
-    late = _widen(late).select("_k", "_v", "start", (F.col("start") + F.col("windows") - 1 + window).alias("end"))
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return settle(found.join(again, "h"), "super-kmers")
+
+
+def classes_of(found: DataFrame, *more) -> DataFrame:
+    """h, c, first (_k, _v, at), n of each class, and the aggregates ``more``; settled."""
+    return settle(found.groupBy("h", "c").agg(F.min(F.struct("_k", "_v", "at")).alias("first"), F.count(F.lit(1)).alias("n"), *more), "classes")
+
+
+def later_ones(found: DataFrame, heads: DataFrame, window: int) -> DataFrame:
+    """_k, _v, start, end of all but the first occurrence. ``heads``: h, c, first, length (in windows)."""
+    late = found.join(heads.select("h", "c", "first", "length"), ["h", "c"]).where(F.struct("_k", "_v", "at") != F.col("first"))
+    return _widen(late).select("_k", "_v", "start", (F.col("start") + F.col("length") - 1 + window).alias("end"))
+
+
+def opened(docs: DataFrame, classes: DataFrame, unit: str, window: int, open_up) -> DataFrame:
+    """_k, _v, start, end of windows that repeat across unlike classes of one minimizer.
+
+    ``open_up(rows)`` gets an iterator of (h, block, parted, _k, _v, start, windows, piece) batches and yields
+    losers (open false: _k, _v, start, end) and, of minimizers in several blocks, first windows (open true, with w1, w2).
+    """
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     firsts = _widen(classes.select("h", "first.*").join(several, "h"))
-    blocks = F.ceil(F.col("n") / BLOCK)
+    blocks = F.ceil(F.col("classes") / BLOCK)
     block = F.pmod(F.xxhash64("_k", "_v", "at"), blocks)
     firsts = firsts.select("_k", "_v", F.struct("h", block.alias("block"), (blocks > 1).alias("parted"), "start", "windows").alias("one"))
     per_doc = firsts.groupBy("_k", "_v").agg(F.collect_list("one").alias("ones"))
-    contexts = own.join(per_doc, ["_k", "_v"]).dropDuplicates(["_k", "_v"]) if docs.select("_v").where("_v <> 0").limit(1).count() else own.join(per_doc, ["_k", "_v"])
+    contexts = docs.select("_k", "_v", "text").join(per_doc, ["_k", "_v"])
+    if docs.select("_v").where("_v <> 0").limit(1).count():  # rows alike in id and text are one document
+        contexts = contexts.dropDuplicates(["_k", "_v"])
     contexts = contexts.mapInArrow(_contexts(unit, window), "h long, block long, parted boolean, _k long, _v long, start long, windows int, piece binary")
-    opened = contexts.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(open_up, "open boolean, _k long, _v long, start long, end long, w1 long, w2 long")
-    opened = settle(opened, "opened")
-    firsts = opened.where("open")
-    least = firsts.groupBy("w1", "w2").agg(F.min(F.struct("_k", "_v", "start")).alias("first"))
-    merged = firsts.join(least, ["w1", "w2"]).where(F.struct("_k", "_v", "start") != F.col("first"))
+    found = contexts.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(open_up, "open boolean, _k long, _v long, start long, end long, w1 long, w2 long")
+    found = settle(found, "opened")
+    first = found.where("open")
+    least = settle(first.groupBy("w1", "w2").agg(F.min(F.struct("_k", "_v", "start")).alias("first")), "first-windows")
+    merged = first.join(least, ["w1", "w2"]).where(F.struct("_k", "_v", "start") != F.col("first"))
     cols = ["_k", "_v", "start", "end"]
-    return late.select(*cols).unionByName(opened.where("not open").select(*cols)).unionByName(merged.select(*cols))
+    return found.where("not open").select(*cols).unionByName(merged.select(*cols))
+
+
+def repeats(docs: DataFrame, unit: str, window: int, k: int, open_up) -> DataFrame:
+    """_k, _v, start, end of token ranges that lose (overlapping; several a document). ``docs`` as ``keyed`` gives it."""
+    small_batches(docs.sparkSession)
+    found = occurrences(docs, unit, window, k)
+    classes = classes_of(found)
+    heads = classes.where("n > 1").withColumn("length", F.col("first.at").bitwiseAND(F.lit(0xFFFF)))
+    return later_ones(found, heads, window).unionByName(opened(docs, classes, unit, window, open_up))
 
 
 def _contexts(unit: str, window: int):

@@ -109,3 +109,18 @@ def test_two_stage_sorting():
             x, y = b[order[k - 1] :], b[order[k] :]
             n = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
             assert shared[k] == min(n, 24)
+
+
+def test_paths(spark):
+    """A passage of three texts is one path; a longer copy of its tail in one more text parts it."""
+    r = random.Random(6)
+    own = lambda k: " ".join(f"o{r.randrange(10**9)}" for _ in range(k))
+    passage = own(90)
+    rows = [(i, f"{own(30)} {passage} {own(30)}") for i in range(3)]
+    got = debruijn.repeated_paths(spark.createDataFrame(rows, DOC)).collect()
+    inner = max(got, key=lambda p: p.end - p.start)
+    assert inner.doc_id == 0 and inner.copies == 3 and inner.end - inner.start > 70 and inner.start >= 30 and inner.end <= 120
+    rows.append((3, " ".join(passage.split()[-45:])))
+    parted = debruijn.repeated_paths(spark.createDataFrame(rows, DOC)).collect()
+    assert {p.copies for p in parted} >= {3, 4}
+    check_words(spark, rows)
