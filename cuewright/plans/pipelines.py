@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..model import SPEECH_RESPONSE
+from ..operators.choose import needs_no_translation
 from ..operators.dedup import filter_hallucinations, near_duplicate_starts
-from ..operators.intervals import overlapping_windows, split_long
+from ..operators.intervals import GOOGLE_MAX_MS, WHISPER_MAX_MS, overlapping_windows, split_long
 from ..operators.merge import positional_merge
+from ..operators.speech import onto_timeline, pack_words, timed_words, transcript_of, words_of
 from ..providers import Transcriber, Translator, transcribe, translate
 from ..sources.subtitles import read_subtitles, write_srt
 
@@ -46,6 +50,59 @@ def clean_transcript(found: DataFrame) -> DataFrame:
     return renumbered(filter_hallucinations(once), "idx")
 
 
+def spoken_lines(responses: DataFrame) -> DataFrame:
+    """media_id, seg_index, start_ms, end_ms, response (model.SPEECH_RESPONSE) -> media_id, seg_index, pos, start, end, text.
+
+    Words are packed into lines; a window whose answer has no words gives its whole transcript as one line, if there is any.
+    """
+    at = F.col("start_ms") / F.lit(1000.0)
+    spans = responses.select("media_id", "seg_index", "start_ms", "end_ms")
+    packed = pack_words(timed_words(responses)).join(spans, ["media_id", "seg_index"])
+    lines = onto_timeline(packed, at, repair=True).select("media_id", "seg_index", F.col("line").alias("pos"), "start", "end", "text")
+    bare = responses.where(F.coalesce(F.size(words_of(F.col("response"))), F.lit(0)) <= 0).withColumn("text", transcript_of(F.col("response"))).where("text <> ''")
+    whole = bare.select("media_id", "seg_index", F.lit(0).alias("pos"), at.alias("start"), (F.col("end_ms") / F.lit(1000.0)).alias("end"), "text")
+    return lines.unionByName(whole)
+
+
+def ask_speech(windows: DataFrame, make: Callable[[], object]) -> DataFrame:
+    """``windows`` with ``response``: what ``make().response(media_id, start_ms, end_ms)`` gives (JSON); nothing for a window whose call fails."""
+
+    def over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service = make()
+
+        def one(m: int, s: int, e: int) -> str:
+            try:
+                return service.response(m, s, e)
+            except Exception:  # noqa: BLE001
+                return "{}"
+
+        for p in parts:
+            yield p.assign(json=[one(*r) for r in p[["media_id", "start_ms", "end_ms"]].itertuples(index=False)])
+
+    asked = windows.select("media_id", "seg_index", "start_ms", "end_ms").mapInPandas(over, "media_id long, seg_index int, start_ms long, end_ms long, json string")
+    return asked.select("media_id", "seg_index", "start_ms", "end_ms", F.from_json("json", SPEECH_RESPONSE).alias("response"))
+
+
+def transcript(media: DataFrame, make: Callable[[], object], engine: str = "whisper", speech: DataFrame | None = None, longest: int | None = None, calls: int = 5) -> DataFrame:
+    """media_id, idx, start, end, text of recordings (media_id, duration), ``calls`` at a time.
+
+    "google" takes windows of up to 59 s and answers in words; any other engine name takes segments. A recording
+    without a known duration has no window, and so no transcript, unless speech was detected in it.
+    """
+    most = GOOGLE_MAX_MS if engine == "google" else longest or WHISPER_MAX_MS
+    windows = recording_windows(media.where("duration is not null"), speech, most).repartition(calls, "media_id", "seg_index")
+    return clean_transcript(spoken_lines(ask_speech(windows, make)) if engine == "google" else transcribe(windows, make))
+
+
+def in_subtitles(segments: DataFrame, target: str, code: str | None, make: Callable[[], Translator], pause: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(translated, bilingual). Subtitles that are in the target language already are not translated."""
+    skip = code is not None and segments.sparkSession.range(1).select(needs_no_translation(F.lit(code), F.lit(target))).first()[0]
+    if skip:
+        return segments, segments
+    done = translate(segments, make, pause=pause)
+    return done, positional_merge(segments, done)
+
+
 def subtitles(windows: DataFrame, speech: Callable[[], Transcriber], translator: Callable[[], Translator] | None, pause: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(transcript, bilingual). Without a translator (the target is the language spoken) both are the transcript."""
     text = clean_transcript(transcribe(windows, speech))
@@ -54,4 +111,4 @@ def subtitles(windows: DataFrame, speech: Callable[[], Transcriber], translator:
     return text, positional_merge(text, translate(text, translator, pause=pause))
 
 
-__all__ = ["clean_transcript", "merge_files", "recording_windows", "renumbered", "subtitles"]
+__all__ = ["ask_speech", "clean_transcript", "in_subtitles", "merge_files", "recording_windows", "renumbered", "spoken_lines", "subtitles", "transcript"]

@@ -89,3 +89,30 @@ def test_detected_speech_comes_first(spark):
     speech = spark.createDataFrame([(0, 0, 1000, 9000)], "media_id long, seg_index int, start_ms long, end_ms long")
     got = [(r.media_id, r.start_ms, r.end_ms) for r in recording_windows(media, speech, 30_000).orderBy("media_id", "seg_index").collect()]
     assert got == [(0, 1000, 9000), (1, 0, 30000), (1, 20000, 40000)]
+
+
+class Words:
+    def response(self, media_id, start_ms, end_ms):
+        if media_id == 9:
+            raise RuntimeError("refused")
+        if media_id == 2:
+            return json.dumps({"results": [{"alternatives": [{"transcript": "only text"}]}, {"alternatives": [{"transcript": "and more "}]}]})
+        words = [{"word": f"w{start_ms + i}", "startTime": f"{i}.500s", "endTime": f"{i}.500s" if i == 4 else f"{i + 1}s"} for i in range(5)]
+        words[4]["word"] += "."
+        return json.dumps({"results": [{"alternatives": [{"transcript": "x", "words": words}]}]})
+
+
+def test_word_service(spark):
+    from cuewright.plans.pipelines import transcript
+
+    media = spark.createDataFrame([(0, 8.0), (2, 70.0), (9, 8.0), (10, None)], "media_id long, duration double")
+    got = [tuple(r) for r in transcript(media, Words, "google").orderBy("media_id", "idx").select("media_id", "start", "end", "text").collect()]
+    assert got == [(0, 0.5, 4.5, "w0 w1 w2 w3 w4."), (2, 0.0, 59.0, "only text and more")]  # the second window's equal text is a run
+
+
+def test_target_language_is_not_translated(spark):
+    from cuewright.plans.pipelines import in_subtitles
+
+    df = spark.createDataFrame([(0, 0, 0.0, 1.0, "a")], SEG)
+    assert in_subtitles(df, "Simplified Chinese", "zh", Broken)[0] is df
+    assert in_subtitles(df, "French", "en", Whole, 0.0)[1].first().text == "T:a\na"
