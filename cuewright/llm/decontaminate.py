@@ -1,7 +1,7 @@
 """Benchmark decontamination with built-in expressions only.
 
 A hash of every window of the benchmark's normalised words goes to all tasks while there are at most
-``MAX_BROADCAST`` of them (16 bytes each); beyond that the same join is left to a shuffle. Documents stream their window
+``MAX_BROADCAST`` of them (some 250 bytes each with its words); beyond that the same join is left to a shuffle. Documents stream their window
 hashes past it, and only hits leave that stage. A hit counts once the document's words there equal the window's, so
 a clash of hashes never does. Texts are read twice and moved only to be verified, if Spark does not find the hits
 small enough to send to them.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, keyed, let, restored, settle, slim, text_of
 
 WINDOW = 10
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 250_000
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 

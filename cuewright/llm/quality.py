@@ -37,14 +37,14 @@ class Rule:
     high: float | None = None
 
 
-#: Bounds in the range that published web-corpus filters use.
+#: Bounds in the range that published web-corpus filters use; dup_lines is looser, as line dedup follows and one line of three is soon repeated.
 RULES = (
     Rule("length", "n_words", MIN_WORDS, None),
     Rule("repeats", "repeat_percent", None, MAX_REPEAT_PERCENT),
     Rule("word_length", "mean_word_length", 2.5, 12.0),
     Rule("symbols", "symbol_ratio", None, 0.1),
     Rule("stop_words", "stop_ratio", 0.02, None),
-    Rule("dup_lines", "dup_line_ratio", None, 0.3),
+    Rule("dup_lines", "dup_line_ratio", None, 0.5),
     Rule("alphabetic", "alpha_word_ratio", 0.7, None),
 )
 

@@ -44,7 +44,7 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
 r AS (SELECT *, greatest(n_words, 1)::DOUBLE AS n FROM m),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   concat_ws(',', CASE WHEN n_words < 50 THEN 'length' END, CASE WHEN 100 * n_repeat_words / n > 50 THEN 'repeats' END, CASE WHEN word_chars / n < 2.5 OR word_chars / n > 12 THEN 'word_length' END,
-    CASE WHEN n_symbols / n > 0.1::DOUBLE THEN 'symbols' END, CASE WHEN n_stop / n < 0.02::DOUBLE THEN 'stop_words' END, CASE WHEN n_dup_lines / greatest(n_lines, 1)::DOUBLE > 0.3::DOUBLE THEN 'dup_lines' END,
+    CASE WHEN n_symbols / n > 0.1::DOUBLE THEN 'symbols' END, CASE WHEN n_stop / n < 0.02::DOUBLE THEN 'stop_words' END, CASE WHEN n_dup_lines / greatest(n_lines, 1)::DOUBLE > 0.5::DOUBLE THEN 'dup_lines' END,
     CASE WHEN n_alpha / n < 0.7::DOUBLE THEN 'alphabetic' END) AS failed_rules FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
 """
