@@ -22,24 +22,26 @@ def last_texts(texts: Column, n: int = CONTEXT) -> Column:
     return F.when(k > 0, F.slice(texts, -k, k)).otherwise(F.array().cast("array<string>"))
 
 
+def _with_context(batched: DataFrame, n: int) -> DataFrame:
+    """media_id, batch_no, segments (of the batch, in order), context."""
+    per = batched.groupBy("media_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct(F.col("local_id").alias("id"), "start", "end", "text"))).alias("segments"))
+    tail = F.array_join(last_texts(F.transform("segments", lambda x: x["text"]), n), "\n")
+    w = Window.partitionBy("media_id").orderBy("batch_no")
+    return per.withColumn("_tail", tail).withColumn("context", F.nullif(F.lag("_tail").over(w), F.lit(""))).drop("_tail")
+
+
 def batch_context(batched: DataFrame, n: int = CONTEXT) -> DataFrame:
     """media_id, batch_no, context: the last texts of the batch before; null for the first or if they are all empty.
 
     Contexts are original texts, so all batches can be asked at once.
     """
-    per = batched.groupBy("media_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct("local_id", "text"))).alias("rows"))
-    tail = F.array_join(last_texts(F.transform("rows", lambda x: x["text"]), n), "\n")
-    w = Window.partitionBy("media_id").orderBy("batch_no")
-    return per.select("media_id", "batch_no", tail.alias("tail")).select("media_id", "batch_no", F.nullif(F.lag("tail").over(w), F.lit("")).alias("context"))
+    return _with_context(batched, n).select("media_id", "batch_no", "context")
 
 
 def requests(batched: DataFrame, n: int = CONTEXT) -> DataFrame:
     """media_id, batch_no, request (JSON): the batch's segments and, if there is one, the context."""
-    item = F.struct(F.col("local_id").alias("id"), "start", "end", "text")
-    per = batched.groupBy("media_id", "batch_no").agg(F.array_sort(F.collect_list(item)).alias("segments"))
-    both = per.join(batch_context(batched, n), ["media_id", "batch_no"])
     body = F.struct(F.col("context").alias("previous_context_for_reference_only"), F.col("segments").alias("segments_to_translate"))
-    return both.select("media_id", "batch_no", F.to_json(body).alias("request"))
+    return _with_context(batched, n).select("media_id", "batch_no", F.to_json(body).alias("request"))
 
 
 def answers(responses: DataFrame) -> DataFrame:

@@ -14,14 +14,12 @@ NEAR_SECONDS = 1.0
 def flag_frequent(segments: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``frequent``: the stripped text makes up more than ``max_repeat`` rows and 15% of its media's rows; never if empty.
 
-    Counts are two map-side combined aggregates joined back, so one very long or very repetitive media is no single task.
+    Both counts and what follows by media plan to one exchange on the media; a recording's segments fit one task.
     """
-    key = strip(F.coalesce("text", F.lit("")))
-    rows = segments.withColumn("_key", key)
-    by_text = rows.groupBy("media_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
-    total = by_text.groupBy("media_id").agg(F.sum("_n").alias("_total"))
-    bad = by_text.join(total, "media_id").where((F.col("_key") != "") & (F.col("_n") > max_repeat) & (F.col("_n") > F.lit(MAX_SHARE) * F.col("_total"))).select("media_id", "_key", F.lit(True).alias("frequent"))
-    return rows.join(bad, ["media_id", "_key"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(False))).drop("_key")
+    rows = segments.withColumn("_key", strip(F.coalesce("text", F.lit(""))))
+    same, total = (F.count(F.lit(1)).over(Window.partitionBy(*by)) for by in (["media_id", "_key"], ["media_id"]))
+    rows = rows.withColumns({"_n": same, "_total": total})
+    return rows.withColumn("frequent", (F.col("_key") != "") & (F.col("_n") > max_repeat) & (F.col("_n") > F.lit(MAX_SHARE) * F.col("_total"))).drop("_key", "_n", "_total")
 
 
 def drop_frequent(segments: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -54,9 +52,10 @@ def near_duplicate_starts(segments: DataFrame, seconds: float | Column = NEAR_SE
     w = Window.partitionBy("media_id").orderBy("start", "idx")
     rows = segments.where("start is not null and not isnan(start)").withColumn("_new", F.coalesce(F.col("start") - F.lag("start").over(w) >= thr, F.lit(True)).cast("int"))
     rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    item = F.struct("start", "idx", F.char_length(strip(F.coalesce("text", F.lit("")))).alias("n"))
+    # Whole rows travel in the fold, so nothing is joined back; one exchange on the media in all.
+    item = F.struct("start", "idx", F.char_length(strip(F.coalesce("text", F.lit("")))).alias("n"), F.struct(*segments.columns).alias("row"))
+    kind = rows.select(item.alias("x")).schema["x"].dataType.simpleString()
     per = rows.groupBy("media_id", "_island").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    pair = "struct<start:double,idx:bigint,n:int>"
 
     def step(acc: Column, x: Column) -> Column:
         held = acc["held"]
@@ -64,8 +63,8 @@ def near_duplicate_starts(segments: DataFrame, seconds: float | Column = NEAR_SE
         longer = x["n"] > held["n"]
         return F.when(held.isNull(), F.struct(x.alias("held"), acc["done"].alias("done"))).when(
             near, F.struct(F.when(longer, x).otherwise(held).alias("held"), acc["done"].alias("done"))
-        ).otherwise(F.struct(x.alias("held"), F.concat(acc["done"], F.array(held["idx"])).alias("done")))
+        ).otherwise(F.struct(x.alias("held"), F.concat(acc["done"], F.array(held)).alias("done")))
 
-    zero = F.struct(F.lit(None).cast(pair).alias("held"), F.array().cast("array<bigint>").alias("done"))
-    kept = F.aggregate("_rows", zero, step, lambda a: F.concat(a["done"], F.array(a["held"]["idx"])))
-    return segments.join(per.select("media_id", F.explode(kept).alias("idx")), ["media_id", "idx"], "left_semi")
+    zero = F.struct(F.lit(None).cast(kind).alias("held"), F.array().cast(f"array<{kind}>").alias("done"))
+    kept = F.aggregate("_rows", zero, step, lambda a: F.concat(a["done"], F.array(a["held"])))
+    return per.select(F.explode(kept).alias("x")).select("x.row.*")

@@ -68,8 +68,11 @@ def silence_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def positional_zip(starts: DataFrame, ends: DataFrame, durations: DataFrame) -> DataFrame:
-    """media_id, pos, s_start, s_end. ``starts``: media_id, n, s; ``ends``: media_id, n, e; ``durations``: media_id, duration."""
-    counts = starts.groupBy("media_id").agg(F.count(F.lit(1)).alias("ns")).join(ends.groupBy("media_id").agg(F.count(F.lit(1)).alias("ne")), "media_id", "left").withColumn("ne", F.coalesce("ne", F.lit(0)))
-    extra = counts.where("ns > ne").join(durations, "media_id").select("media_id", F.col("ne").cast("int").alias("n"), F.col("duration").alias("e"))
-    both = starts.join(ends.select("media_id", F.col("n").cast("int").alias("n"), "e").unionByName(extra), ["media_id", "n"])
-    return both.select("media_id", F.col("n").cast("int").alias("pos"), F.col("s").alias("s_start"), F.col("e").alias("s_end"))
+    """media_id, pos, s_start, s_end: starts and ends paired by position. ``starts``: media_id, n, s; ``ends``: media_id, n, e; ``durations``: media_id, duration."""
+    none = F.lit(None).cast("double")
+    both = starts.select("media_id", "n", "s", none.alias("e")).unionByName(ends.select("media_id", "n", none.alias("s"), "e"))
+    pick = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("n", c))))
+    lists = both.groupBy("media_id").agg(F.transform(pick("s"), lambda x: x["s"]).alias("s"), F.transform(pick("e"), lambda x: x["e"]).alias("e")).join(durations, "media_id", "left")
+    ended = F.when((F.size("s") > F.size("e")) & F.col("duration").isNotNull(), F.concat("e", F.array("duration"))).otherwise(F.col("e"))
+    pairs = lists.select("media_id", "s", ended.alias("e")).select("media_id", F.posexplode(F.slice(F.arrays_zip("s", "e"), F.lit(1), F.least(F.size("s"), F.size("e")))).alias("pos", "p"))
+    return pairs.select("media_id", "pos", F.col("p.s").alias("s_start"), F.col("p.e").alias("s_end"))
