@@ -28,6 +28,8 @@ from .common import settle, small_batches
 CHUNK = 1 << 18
 #: Class-first occurrences of one minimizer that are opened up together.
 BLOCK = 2_048
+#: Pieces of text that a task holds before it passes them on.
+PIECES = 20_000
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -241,23 +243,35 @@ def _contexts(unit: str, window: int):
             ones = b.column("ones")
             at, flat = ones.offsets.to_numpy() - ones.offsets.to_numpy()[0], ones.flatten()
             field = {n: flat.field(n) for n in ("h", "block", "parted", "start", "windows")}
-            start, windows = field["start"].to_numpy(), field["windows"].to_numpy()
-            got = []
+            start, windows = field["start"].to_numpy(), field["windows"].to_numpy().astype(np.int64)
+            key, variant = b.column("_k"), b.column("_v")
+            got: list[bytes] = []
+            rows: list[np.ndarray] = []  # the document of each piece
+            first = 0  # the first piece that was not given yet
+
+            def out(upto: int, got=got, rows=rows, key=key, variant=variant, field=field) -> pa.RecordBatch:
+                doc = pa.array(np.concatenate(rows))
+                cols = [*(field[n][first:upto] for n in ("h", "block", "parted")), key.take(doc), variant.take(doc), field["start"][first:upto], field["windows"][first:upto], pa.array(got, pa.binary())]
+                return pa.RecordBatch.from_arrays(cols, names=["h", "block", "parted", "_k", "_v", "start", "windows", "piece"])
+
             for i in range(len(b)):
                 mine = data[offsets[i] : offsets[i + 1]]
-                s, n = start[at[i] : at[i + 1]], windows[at[i] : at[i + 1]]
-                lo, hi = s, s + n - 1 + window
-                if unit == "word":
-                    first, last, _ = word_bounds(mine, np.array([0, len(mine)]))
-                    lo, hi = first[lo], last[hi - 1]
                 raw = mine.tobytes()
-                got += [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-            rows = np.repeat(np.arange(len(b)), np.diff(at))
-            for x in range(0, len(got), 20_000):
-                y = min(len(got), x + 20_000)
-                part = rows[x:y]
-                cols = [field["h"][x:y], field["block"][x:y], field["parted"][x:y], b.column("_k").take(pa.array(part)), b.column("_v").take(pa.array(part)), field["start"][x:y], field["windows"][x:y], pa.array(got[x:y], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "block", "parted", "_k", "_v", "start", "windows", "piece"])
+                bounds = word_bounds(mine, np.array([0, len(mine)])) if unit == "word" else None
+                for x in range(int(at[i]), int(at[i + 1]), PIECES):
+                    y = min(int(at[i + 1]), x + PIECES)
+                    lo, hi = start[x:y], start[x:y] + windows[x:y] - 1 + window
+                    if bounds is not None:
+                        lo, hi = bounds[0][lo], bounds[1][hi - 1]
+                    got += [raw[p:q] for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    rows.append(np.full(y - x, i))
+                    if len(got) >= PIECES:
+                        yield out(y)
+                        first = y
+                        got.clear()
+                        rows.clear()
+            if got:
+                yield out(int(at[-1]))
 
     return over
 
