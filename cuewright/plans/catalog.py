@@ -13,6 +13,7 @@ from ..operators import batching, choose, dedup, intervals, merge, speech
 from ..providers import FakeTranslator, Transcriber
 from ..sources import media as media_source
 from ..sources import subtitles
+from ..workers import ship
 from . import adapters, pipelines, sql
 from .adapters import table
 
@@ -275,6 +276,7 @@ def heard_turns(windows: DataFrame, turns: DataFrame) -> DataFrame:
                 rows += [(r.media_id, r.seg_index, k, r.start_ms / 1000.0 + x["start"], r.start_ms / 1000.0 + x["end"], x["text"]) for k, x in enumerate(service.window(r.media_id, r.start_ms, r.end_ms))]
             yield pd.DataFrame(rows, columns=["media_id", "seg_index", "pos", "start", "end", "text"])
 
+    ship(windows.sparkSession)
     return windows.join(per, "media_id").mapInPandas(over, "media_id long, seg_index int, pos int, start double, end double, text string")
 
 

@@ -16,6 +16,7 @@ from ..operators.merge import positional_merge
 from ..operators.speech import onto_timeline, pack_words, timed_words, transcript_of, words_of
 from ..providers import Transcriber, Translator, transcribe, translate
 from ..sources.subtitles import read_subtitles, write_srt
+from ..workers import ship
 
 
 def renumbered(segments: DataFrame, *order: str) -> DataFrame:
@@ -79,6 +80,7 @@ def ask_speech(windows: DataFrame, make: Callable[[], object]) -> DataFrame:
         for p in parts:
             yield p.assign(json=[one(*r) for r in p[["media_id", "start_ms", "end_ms"]].itertuples(index=False)])
 
+    ship(windows.sparkSession)
     asked = windows.select("media_id", "seg_index", "start_ms", "end_ms").mapInPandas(over, "media_id long, seg_index int, start_ms long, end_ms long, json string")
     return asked.select("media_id", "seg_index", "start_ms", "end_ms", F.from_json("json", SPEECH_RESPONSE).alias("response"))
 

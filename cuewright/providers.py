@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators.batching import answers, batches, complete_batches, realign, requests
+from .workers import ship
 
 
 class Translator(Protocol):
@@ -72,6 +73,7 @@ def ask_batches(asked: DataFrame, make: Callable[[], Translator], attempts: int
         for p in parts:
             yield p.assign(response=[one(r) for r in p["request"]])[["media_id", "batch_no", "response"]]
 
+    ship(asked.sparkSession)
     return asked.mapInPandas(over, "media_id long, batch_no long, response string")
 
 
@@ -94,6 +96,7 @@ def ask_singles(missing: DataFrame, make: Callable[[], Translator], attempts: in
         for p in parts:
             yield p.assign(second=[one(x) for x in p["text"]])[["media_id", "idx", "second"]]
 
+    ship(missing.sparkSession)
     return missing.mapInPandas(over, "media_id long, idx long, second string")
 
 
@@ -125,6 +128,7 @@ def transcribe(windows: DataFrame, make: Callable[[], Transcriber]) -> DataFrame
                 rows += [(m, i, k, s / 1000.0 + x["start"], s / 1000.0 + x["end"], x["text"]) for k, x in enumerate(got)]
             yield pd.DataFrame(rows, columns=["media_id", "seg_index", "pos", "start", "end", "text"])
 
+    ship(windows.sparkSession)
     return windows.mapInPandas(over, "media_id long, seg_index int, pos int, start double, end double, text string")
 
 
