@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: ASCII white space; Java and Python regular expressions read it alike.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -70,7 +72,9 @@ def _sweep(spark: SparkSession, key: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Long texts: fewer rows an Arrow batch than Spark's default, unless the session set its own number."""
+    """Before Python stages. Long texts: fewer rows an Arrow batch than Spark's default, unless the session set its own
+    number. And the package goes to the workers."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
