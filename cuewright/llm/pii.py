@@ -6,8 +6,8 @@ dates stay dates in the same notation, addresses stay addresses. The permutation
 so equal values get equal pseudonyms in every document, and whoever has the key can go back. A cycle-walk keeps the result inside
 the format where the network's domain is larger. Dates are permuted as days, so one day stays one day in all notations.
 
-One narrow stage: each row alone, memory of one Arrow batch. Null stays null; empty stays empty; texts without a digit
-or an at sign are passed on unread. Null ids, ties and repeated rows change nothing. An empty table gives an empty
+One narrow stage: each row alone, memory of one Arrow batch. Null stays null; empty stays empty; texts without a digit,
+sign or key prefix that some kind needs are passed on unread. Null ids, ties and repeated rows change nothing. An empty table gives an empty
 result. Extra columns pass through ``pseudonymise``; those named like its own (``pii``) are replaced.
 """
 
@@ -214,9 +214,9 @@ KINDS: dict[str, tuple[str, Callable[[str, Cipher], str | None]]] = {
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ipv4),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", phone),
-    "card": (r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
+    "card": (r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])", card),
 }
-_HINT = re.compile(r"[0-9@=:]")
+_HINT = re.compile(r"[0-9@=:]|A[KS]IA")
 
 
 def _pattern() -> re.Pattern:
