@@ -124,3 +124,22 @@ def test_paths(spark):
     parted = debruijn.repeated_paths(spark.createDataFrame(rows, DOC)).collect()
     assert {p.copies for p in parted} >= {3, 4}
     check_words(spark, rows)
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """Cut into chunks at other places in either text; nothing that crosses a cut is lost."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9)))
+    base = " ".join(word() for _ in range(60_000))
+    assert len(base) > superkmers.CHUNK + 1000
+    at = superkmers.CHUNK - 300
+    rows = [(1, base), (2, "shifted by this " + base[at : at + 700]), (3, base[1000:] + " end")]
+    assert check_bytes(spark, rows) > 300_000
+    assert check_words(spark, rows) > 50_000
+
+
+def test_more_words_than_a_chunk(spark):
+    r = random.Random(9)
+    w = [f"{r.randrange(10**5)}" for _ in range(superkmers.CHUNK + 3_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[superkmers.CHUNK - 60 : superkmers.CHUNK + 60]))]
+    assert check_words(spark, rows) == 120
