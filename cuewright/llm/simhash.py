@@ -224,16 +224,19 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, _k, _v, fp, component (smallest _k reachable) of each row of ``docs`` (as ``keyed`` gives it)."""
+    """doc_id, _k, _v, fp, component (smallest _k reachable), root of each row of ``docs`` (as ``keyed`` gives it).
+
+    ``root`` is the group's smallest fingerprint: one of each group, where groups may share their smallest _k.
+    """
     prints = settle(fingerprints(docs), "fingerprints")
     points = settle(prints.groupBy("fp").agg(F.min("_k").alias("least")), "points")
     roots = components(fingerprint_links(points))
     grouped = points.join(roots, points.fp == roots.node).select("fp", "root", "least")
     names = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    named = grouped.join(names, "root").select("fp", "component")
+    named = grouped.join(names, "root").select("fp", "root", "component")
     # Each point's least id, or its component's; a fingerprint with very many documents is split by the skew join.
-    final = settle(points.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
-    return prints.join(final, "fp").select("doc_id", "_k", "_v", "fp", "component")
+    final = settle(points.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), F.coalesce("root", "fp").alias("root")), "classes")
+    return prints.join(final, "fp").select("doc_id", "_k", "_v", "fp", "component", "root")
 
 
 def simhash_classes(docs: DataFrame) -> DataFrame:
@@ -245,8 +248,9 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest doc_id, in one copy."""
     d = keyed(slim(docs))
-    found = near_duplicates(d.select("doc_id", "text", "_k", "_v")).where("_k = component").select("_k", "_v")
-    first = found.groupBy("_k").agg(F.min("_v").alias("_v"))
+    found = near_duplicates(d.select("doc_id", "text", "_k", "_v")).where("_k = component").select("root", "_k", "_v")
+    # By group, not by _k: groups that share their smallest doc_id (null, or one given twice) each keep a document.
+    first = found.groupBy("root", "_k").agg(F.min("_v").alias("_v")).select("_k", "_v")
     kept = d.join(first, ["_k", "_v"])
     if d.select("_v").where("_v <> 0").limit(1).count():  # rows of one doc_id with one text: keep one
         kept = kept.dropDuplicates(["_k", "_v"])

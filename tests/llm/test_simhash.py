@@ -86,3 +86,14 @@ def test_empty_and_odd(none, odd):
     assert kept.columns == odd.columns
     out = kept.collect()
     assert len([r for r in out if r.doc_id is None]) == len({r.text for r in out if r.doc_id is None})
+
+
+def test_every_group_keeps_one_row(spark, odd, rows):
+    """Also groups whose smallest doc_id is the same: null ids, and one id with unlike texts."""
+    some = [(None if i % 3 == 0 else 5 if i % 3 == 1 else d, t) for i, (d, t, *_) in enumerate(rows)]
+    for docs in (odd, spark.createDataFrame(some, "doc_id long, text string").repartition(3)):
+        texts = [r.text for r in docs.collect()]
+        fps = [brute.fingerprint(t) for t in texts]
+        group = dict(zip(texts, brute.linked(fps, fps), strict=True))
+        kept = [group[r.text] for r in simhash.one_of_each(docs).collect()]
+        assert sorted(kept) == sorted(set(group.values()))
