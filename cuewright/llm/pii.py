@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import passed, restored, slim, small_batches
 
 ROUNDS = 8
+#: Symbols permuted as one number: its half must fit the 64 bytes of a round.
+CHUNK = 190
 #: For tests and the query; in production pass a secret one.
 KEY = b"a key for tests only"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -64,9 +66,11 @@ class Cipher:
         return str(self.number(int(s), 10 ** len(s), kind)).zfill(len(s)) if s else s
 
     def symbols(self, s: str, alphabet: str, kind: str) -> str:
-        """s as a number to the base of its alphabet."""
+        """s as a number to the base of its alphabet, ``CHUNK`` symbols at a time."""
         if not s:
             return s
+        if len(s) > CHUNK:
+            return "".join(self.symbols(s[i : i + CHUNK], alphabet, f"{kind}{i or ''}") for i in range(0, len(s), CHUNK))
         n, v = len(alphabet), 0
         for c in s:
             v = v * n + alphabet.index(c)
@@ -197,16 +201,20 @@ def access_key(s: str, c: Cipher) -> str | None:
 
 
 def secret(s: str, c: Cipher) -> str | None:
-    m = re.search(r"[^\s\"'=:]+[\"']?$", s)
-    value = m[0].rstrip("\"'")
+    start = re.match(r"[^=:]*[=:][ ]*[\"']?", s).end()
+    value = s[start:].rstrip("\"',;:?)]}>")
+    if not re.search(r"[0-9A-Za-z]", value):
+        return None
     hexed = re.fullmatch(r"[0-9a-f]+", value)
     new = c.symbols(value, "0123456789abcdef", "secret") if hexed else c.like(value, "secret")
-    return s[: m.start()] + new + m[0][len(value) :]
+    return s[:start] + new + s[start + len(value) :]
 
 
+#: A secret's whole value: up to the closing quote (or white space, if none closes on the line); bare, up to white space.
+_VALUE = r"""(?:"(?:[^"\\\n]|\\.){8,}+"|'(?:[^'\\\n]|\\.){8,}+'|"[^\s"]{8,}+|'[^\s']{8,}+|(?=[^\s"']\S{6,}[^\s"',;:?)\]}>])\S++)"""
 #: Kind -> (pattern, check and permutation). The first that matches at a place is tried.
 KINDS: dict[str, tuple[str, Callable[[str, Cipher], str | None]]] = {
-    "secret": (r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_.~!-]{8,256}+[\"']?", secret),
+    "secret": (r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[ ]{0,2}[=:][ ]{0,2}" + _VALUE, secret),
     "access_key": (r"\bA[KS]IA[0-9A-Z]{16}\b", access_key),
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}\b", email),
     "iban": (r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", iban),

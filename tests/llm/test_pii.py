@@ -68,3 +68,26 @@ def test_operator(spark, none, odd):
     q = pii.pseudonym_rows(d)
     assert q.where(F.col("doc_id") == 5).first().kinds == "ipv4"
     assert pii.pseudonym_rows(none).count() == 0 and pii.pseudonymise(odd).count() == 8
+
+
+LONG = "".join(random.Random(7).choices("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=3000))
+
+
+@pytest.mark.parametrize("value", [LONG[:600], LONG, "Abcdefgh1@xyz", "p@ssw0rd123!", "a#b$c%d^e&f*g(h", "0123abcd" * 90])
+@pytest.mark.parametrize("form", ["password={}", "token = '{}' z", 'secret: "{}", z', "pwd={}, z", "api_key:{}\nz", 'token="{}'])
+def test_whole_secret(value, form):
+    t = form.format(value)
+    new, found = replace(t, Cipher(KEY))
+    at = t.index(value)
+    assert [k for k, _, _ in found] == ["secret"] and found[0][1] == 0 and found[0][2] >= at + len(value)
+    out = new[at : at + len(value)]
+    same = sum(a == b for a, b in zip(value, out, strict=True) if a.isalnum())
+    assert len(new) == len(t) and same < 3 + len(value) / 6 and all(a == b for a, b in zip(value, out, strict=True) if not a.isalnum())
+    assert replace(new, Cipher(KEY, True))[0] == t
+
+
+def test_quoted_secret_with_spaces():
+    t = 'password: "correct horse battery" stays'
+    new, found = replace(t, Cipher(KEY))
+    assert found == [("secret", 0, 33)] and new.endswith('" stays') and not {"correct", "horse", "battery"} & set(re.findall("[a-z]+", new))
+    assert replace(new, Cipher(KEY, True))[0] == t and replace("password: ********", Cipher(KEY))[1] == []
