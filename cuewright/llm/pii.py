@@ -150,6 +150,25 @@ def _iban_check(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(x, 36)) for x in account + country + '00')) % 97:02}"
 
 
+#: Country and length of its account numbers.
+_IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+        "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
+
+def iban_ends(s: str) -> list[int]:
+    """Where the number may end, as words behind it can look like parts of it: by its country, or else at each word's end, longest first."""
+    ends = [i for i in range(len(s), 0, -1) if i == len(s) or s[i] == " "]
+    n = _IBAN_LENGTHS.get(s[:2])
+    # No word ends at the country's length: the whole match, as for other countries.
+    return [i for i in ends if n and i - s.count(" ", 0, i) == n] or ends[: 1 if n else None]
+
+
 def iban(s: str, c: Cipher) -> str | None:
     plain = s.replace(" ", "")
     if not 15 <= len(plain) <= 34 or _iban_check(plain[:2], plain[4:]) != plain[2:4]:
@@ -247,15 +266,19 @@ def replace(text: str, c: Cipher) -> tuple[str, list[tuple[str, int, int]]]:
     out, found, done, at = [], [], 0, 0
     while m := _FIND.search(text, at):
         kind = m.lastgroup
-        new = KINDS[kind][1](m[0], c)
+        new, end = None, m.end()
+        for n in iban_ends(m[0]) if kind == "iban" else [len(m[0])]:
+            new, end = KINDS[kind][1](m[0][:n], c), m.start() + n
+            if new is not None:
+                break
         if new is None:
             at = m.start() + 1
             while at < m.end() and text[at - 1].isalnum() and text[at].isalnum():
                 at += 1  # not into the middle of a word or number
             continue
         out += [text[done : m.start()], new]
-        found.append((kind, m.start(), m.end()))
-        done = at = m.end()
+        found.append((kind, m.start(), end))
+        done = at = end
     return "".join([*out, text[done:]]), found
 
 

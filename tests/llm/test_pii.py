@@ -91,3 +91,12 @@ def test_quoted_secret_with_spaces():
     new, found = replace(t, Cipher(KEY))
     assert found == [("secret", 0, 33)] and new.endswith('" stays') and not {"correct", "horse", "battery"} & set(re.findall("[a-z]+", new))
     assert replace(new, Cipher(KEY, True))[0] == t and replace("password: ********", Cipher(KEY))[1] == []
+
+
+@pytest.mark.parametrize("number", ["ES9121000418450200051332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"])
+@pytest.mark.parametrize("behind", ["", " BIC CAIX", " BIC", " SEPA 2024 AB", " X", ", BIC", " EUR 100", " 4111111111111111"])
+def test_iban_before_words(number, behind):
+    t = f"to {number}{behind}"
+    new, found = replace(t, Cipher(KEY))
+    assert found[0] == ("iban", 3, 3 + len(number)) and number not in new
+    assert pii.iban(new[3 : 3 + len(number)], Cipher(KEY)) is not None and replace(new, Cipher(KEY, True))[0] == t
