@@ -11,15 +11,18 @@ def fold(mod: int, c: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: dict[int, int]) -> DataFrame:
-    """doc_id, text, y of at most ``most[y]`` training rows of each label, the first by a hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, text, y of at most ``most[y]`` training rows of each label, the first by a hash of doc_id, and how many
+    rows of its label a sampled one stands for: bounds that cut one label more than the other change the labels' shares.
 
     Only ids and labels are sorted; the ids found go to the texts, which stay where they are.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y is not null").groupBy("_id").agg(F.max("y").alias("y"))
     known = known.where(train)
+    counts = {r.y: r["count"] for r in known.where(F.col("y").isin(*most)).groupBy("y").count().collect()}
+    stands_for = {y: max(1.0, counts.get(y, 0) / n) for y, n in most.items()}
     picked = None
     for y, n in most.items():
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
         picked = some if picked is None else picked.unionByName(some)
-    return docs.join(F.broadcast(picked), docs.doc_id == picked._id).select("doc_id", "text", "y")
+    return docs.join(F.broadcast(picked), docs.doc_id == picked._id).select("doc_id", "text", "y"), stands_for

@@ -4,7 +4,7 @@ Each hashed word has a sparse random index vector; its word vector is the sum of
 (two to either side) over the whole corpus. Tasks add up one fixed-size matrix each; sums combine by bucket, so the driver gets
 ``BUCKETS`` rows whatever the corpus. A document is the mean and the spread of its words' unit vectors, their mean
 step from word to word, and its length. The network is trained in numpy on at most ``SAMPLE`` labelled rows (a
-documented bound; hash order) and its temperature is set on a part of these that it did not see.
+documented bound; hash order), its logits are shifted to the shares that the labels have without the bound, and its temperature is set on a part of these that it did not see.
 
 Null and empty texts pool to zeros and get the score of that vector. Null labels and labels without documents are
 not learnt from; a label given twice counts once. With labels of one kind only, the score is that share. Repeated rows
@@ -101,14 +101,17 @@ def pool(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarr
 class Network:
     """Standardised inputs, one hidden layer of tanh, a logit, a temperature. Adam on the log loss."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5):
+    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5, stands_for: dict[int, float] | None = None):
+        # From the sample's odds to those of the rows that it stands for.
+        bad, good = (stands_for[0], stands_for[1]) if stands_for else (1.0, 1.0)
+        self.shift, stands = float(np.log(good / bad)), np.where(y == 1, good, bad)
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
         check, learn = order[: len(x) // 5], order[len(x) // 5 :]
         self.mid, self.scale = (x[learn].mean(0), x[learn].std(0) + 1e-3) if len(learn) else (np.zeros(FEATURES), np.ones(FEATURES))
         self.temperature, self.flat = 1.0, None
         if len(np.unique(y[learn])) < 2 if len(learn) else True:
-            self.flat = float(np.mean(y)) if len(y) else 0.5
+            self.flat = float(np.average(y, weights=stands)) if len(y) else 0.5
             return
         z = (x - self.mid) / self.scale
         p = self.p = [rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -124,12 +127,12 @@ class Network:
                     w += 0.001 * (g * g - w)
                     a -= RATE * (u / (1 - 0.9**step)) / (np.sqrt(w / (1 - 0.999**step)) + 1e-8)
         logits, want = self.logits(x[check]), y[check]
-        loss = lambda t: np.mean(np.logaddexp(0, logits / t) - want * logits / t)
+        loss = lambda t: np.average(np.logaddexp(0, logits / t) - want * logits / t, weights=stands[check])
         if len(check):
             self.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mid) / self.scale @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
+        return np.tanh((x - self.mid) / self.scale @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3] + self.shift
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.flat is not None:
@@ -160,10 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     spark = docs.sparkSession
     small_batches(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
-    some = sample(docs.select("doc_id", "text"), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE)
+    some, stands_for = sample(docs.select("doc_id", "text"), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE)
     rows = sorted(some.mapInArrow(_features(vectors), "doc_id long, y int, x array<float>").collect(), key=lambda r: (r.doc_id, r.x))
     x, y = np.array([r.x for r in rows], np.float64).reshape(-1, FEATURES), np.array([r.y for r in rows], np.float64)
-    return vectors, spark.sparkContext.broadcast(Network(x, y))
+    return vectors, spark.sparkContext.broadcast(Network(x, y, stands_for=stands_for))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

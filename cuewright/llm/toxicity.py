@@ -7,7 +7,7 @@ that of its most toxic window, over all its windows, then put on a probability s
 did not see.
 
 Training takes whole labelled texts of at most ``MAX_TRAIN_WORDS`` words, at most ``SAMPLE`` of each label (documented
-bounds; hash order); scoring takes every word of every text. Null and empty texts, or texts without a letter or digit,
+bounds; hash order; the scale is fitted at the shares that the labels have without the bounds); scoring takes every word of every text. Null and empty texts, or texts without a letter or digit,
 score as one window without words. Null labels and labels without documents are not learnt from; with labels of one
 kind only, the score is that share. Repeated rows get equal scores; an empty table gives an empty result. Labels, lang,
 source and doc_id are no inputs.
@@ -205,12 +205,13 @@ class Network:
         out[np.isinf(out)] = self.p["bias"][0]
         return out
 
-    def fit(self, rows: list[bytes], y: np.ndarray, seed: int = 4) -> None:
+    def fit(self, rows: list[bytes], y: np.ndarray, seed: int = 4, stands_for: dict[int, float] | None = None) -> None:
+        stands = np.where(y == 1, *((stands_for[1], stands_for[0]) if stands_for else (1.0, 1.0)))
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(rows))
         check, learn = order[: len(rows) // 5], order[len(rows) // 5 :]
         if not len(learn) or len(np.unique(y[learn])) < 2:
-            self.flat = float(np.mean(y)) if len(y) else 0.5
+            self.flat = float(np.average(y, weights=stands)) if len(y) else 0.5
             return
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -241,13 +242,13 @@ class Network:
                     m[name] += 0.1 * (grad - m[name])
                     s[name] += 0.01 * (grad * grad - s[name])
                     self.p[name] -= RATE * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-6)
-        self.calibrate([rows[i] for i in check], y[check], [rows[i] for i in learn], y[learn])
+        self.calibrate([rows[i] for i in check], y[check], [rows[i] for i in learn], y[learn], np.append(stands[check], stands[learn]))
 
-    def calibrate(self, rows: list[bytes], y: np.ndarray, rows_too: list[bytes], y_too: np.ndarray) -> None:
-        """Scale and shift of logits by log loss on unseen rows, with the seen ones at a tenth of the weight."""
+    def calibrate(self, rows: list[bytes], y: np.ndarray, rows_too: list[bytes], y_too: np.ndarray, stands: np.ndarray | float = 1.0) -> None:
+        """Scale and shift of logits by log loss on unseen rows, with the seen ones at a tenth of the weight; each as the rows that it stands for."""
         every = rows + rows_too
         z = self.logits(np.frombuffer(b"".join(every), np.uint8), np.append(0, np.cumsum([len(x) for x in every]))).astype(np.float64)
-        want, w = np.append(y, y_too), np.append(np.ones(len(y)), np.full(len(y_too), 0.1))
+        want, w = np.append(y, y_too), np.append(np.ones(len(y)), np.full(len(y_too), 0.1)) * stands
         a, b = 1.0, 0.0
         for _ in range(400):
             p = sigmoid(a * z + b)
@@ -270,10 +271,10 @@ def _scores(net):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
-    some = sample(docs.select("doc_id", "text").where(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")) <= MAX_TRAIN_WORDS), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE)
+    some, stands_for = sample(docs.select("doc_id", "text").where(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")) <= MAX_TRAIN_WORDS), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE)
     rows = sorted(((r.doc_id, (r.text or "").encode(), r.y) for r in some.collect()), key=lambda r: (r[0], r[1]))
     net = Network()
-    net.fit([r[1] for r in rows], np.array([r[2] for r in rows], np.float64))
+    net.fit([r[1] for r in rows], np.array([r[2] for r in rows], np.float64), stands_for=stands_for)
     return net
 
 

@@ -4,7 +4,9 @@ import zlib
 import numpy as np
 import pytest
 
-from cuewright.llm import quality_model, toxicity
+from pyspark.sql import functions as F
+
+from cuewright.llm import labelled, quality_model, toxicity
 
 DOC = "doc_id long, text string"
 LAB = "doc_id long, quality int, toxic int"
@@ -117,3 +119,35 @@ def test_a_text_scores_alike_alone_and_among_others():
     together = net.score(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts])))
     for i in (0, 7, 100):
         assert abs(net.score(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])]))[0] - together[i]) < 1e-4
+
+
+def test_sample_says_what_its_rows_stand_for(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(400)], DOC)
+    labels = spark.createDataFrame([(i, int(i >= 300), 0) for i in range(400)], LAB)
+    for most, want in (({0: 30, 1: 50}, {0: 10.0, 1: 2.0}), ({0: 400, 1: 400}, {0: 1.0, 1: 1.0})):
+        some, stands_for = labelled.sample(docs, labels, "quality", F.lit(True), most)
+        assert stands_for == want
+        assert {r.y: r["count"] * stands_for[r.y] for r in some.groupBy("y").count().collect()} == {0: 300, 1: 100}
+
+
+def test_scores_keep_the_share_of_labels():
+    """As many rows of either label, but one in ten is the share: the mean score says so, whatever the sample."""
+    r = np.random.default_rng(1)
+    y = np.repeat([0.0, 1.0], 1500)
+    z = r.normal(y * 1.5, 1)
+    share = np.where(y == 1, 1, 9)
+    x = np.zeros((len(y), quality_model.FEATURES))
+    x[:, 0] = z
+    good = quality_model.Network(x, y, stands_for={0: 9.0, 1: 1.0})
+    assert abs(np.average(good.score(x), weights=share) - 0.1) < 0.03
+    net = toxicity.Network()
+    net.logits = lambda data, offsets: z
+    net.calibrate([b""] * len(y), y, [], np.zeros(0), share)
+    assert abs(np.average(toxicity.sigmoid(net.scale * z + net.shift), weights=share) - 0.1) < 0.02
+
+
+def test_bounds_do_not_move_the_scores(spark, monkeypatch):
+    docs, labels = corpus(500)
+    d, lab = spark.createDataFrame(docs, DOC), spark.createDataFrame([(i, int(i % 8 > 0), 0) for i, *_ in labels], LAB)
+    monkeypatch.setattr(quality_model, "SAMPLE", {0: 40, 1: 40})  # labels that texts say nothing about: 7 of 8 are good
+    assert np.mean([r.score for r in quality_model.score_quality(d, lab).collect()]) > 0.7
