@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id, which so sorts before all others.
 NULL_ID = -(2**63)
+#: Rows of at most some 100 bytes that a settled table may have to be broadcast; a larger one is joined by a shuffle.
+MAX_SENT = 100_000
 
 _scratch: dict[str, list[str]] = {}
 
@@ -26,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named (tests)."""
+    """The folder that driver and executors share. Where none is named: a local one if all run in one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cuewright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -37,24 +42,45 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: short lineage that survives lost executors.
 
-    The files go when the driver's Python ends.
+    The files go when ``release`` or ``release_others`` says so, at the latest when the driver's Python ends.
     """
     spark = df.sparkSession
-    top = f"{shared_dir(spark)}/cuewright"
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cuewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     key = spark.sparkContext.applicationId
     if key not in _scratch:
         _scratch[key] = []
         atexit.register(_sweep, spark, key)
     _scratch[key].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
 
 
-def release(spark: SparkSession, df: DataFrame) -> None:
+def release(df: DataFrame) -> None:
     """Delete a settled table that nothing will read again."""
-    for f in df.inputFiles()[:1]:
-        _delete(spark, f.rsplit("/", 1)[0])
+    spark, path = df.sparkSession, df._settled_at
+    _scratch[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
+def settled_now(spark: SparkSession) -> set[str]:
+    """Marks what is settled, for ``release_others``."""
+    return set(_scratch.get(spark.sparkContext.applicationId, []))
+
+
+def release_others(keep: DataFrame, but: set[str]) -> None:
+    """Delete what was settled since ``but`` was marked, and is not ``keep``."""
+    spark = keep.sparkSession
+    left = _scratch[spark.sparkContext.applicationId]
+    for path in set(left) - but - {keep._settled_at}:
+        left.remove(path)
+        _delete(spark, path)
+
+
+def sent_if_small(settled: DataFrame, most: int = MAX_SENT) -> DataFrame:
+    """A settled table of short rows, to be broadcast if it has at most ``most`` of them. Parquet's footers tell how many."""
+    return F.broadcast(settled) if settled.count() <= most else settled
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -73,7 +99,8 @@ def _sweep(spark: SparkSession, key: str) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Before Python stages. Long texts: fewer rows an Arrow batch than Spark's default, unless the session set its own
-    number. And the package goes to the workers."""
+    number; Spark's own bound of bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB) ends a batch of very long ones
+    before. And the package goes to the workers."""
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -91,6 +118,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_k": k, "_v": v})
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """One row of each (_k, _v) of ``docs`` (as ``keyed`` gives it): those very rows while no doc_id comes twice, else
+    settled, so that a document with very many copies under its own id costs the stages that follow one row."""
+    if not docs.select("_v").where("_v <> 0").limit(1).count():
+        return docs
+    return settle(docs.dropDuplicates(["_k", "_v"]), "documents-once")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many _ behind it as it takes not to be one of ``taken`` (names differ by more than case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def slim(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text and ``keep``, and all other columns out of the way in the struct ``_rest``, so that no name can clash."""
     own = ["doc_id", "text", *keep]

@@ -6,13 +6,15 @@ half (a metric too) with radius 1: far fewer points lie within 1 of a split than
 
 A node has a vantage point and a threshold: points up to the threshold go left, the others right, and those within the
 radius of the threshold go right too, as by the triangle inequality no other left point can link to a right one. The
-top of each tree is fitted on a bounded sample of the distinct fingerprints (``SAMPLE``) and sent to all tasks; its
-leaves are the shards. Every distinct fingerprint is routed to the shards that it may have a partner in; each shard
-grows its own subtree and compares its leaves exactly over 64 bits. Equal fingerprints are one point, so groups of
-copies cost nothing; a shard returns a spanning forest of its links, not all pairs. Components follow in Spark.
+top of each tree is fitted on a bounded sample of the distinct fingerprints (at most ``SAMPLE``) and sent to all tasks; its
+leaves are the shards, whose number grows with the fingerprints. Every distinct fingerprint is routed to the shards that
+it may have a partner in; each shard grows its own subtree, parts by all 64 bits what one half can't part, and compares
+its leaves exactly. Equal fingerprints are one point, so groups of copies cost nothing; a shard returns a spanning
+forest of its links, not all pairs. Components follow in Spark.
 
 A null or empty text has no shingle: fingerprint zero. Null doc_ids count as the smallest. Repeated rows come out as
-often as they came in. An empty table gives an empty result. Extra columns pass through ``one_of_each``.
+often as they came in. An empty table gives an empty result. Extra columns pass through ``one_of_each``. A task's memory
+is a small multiple of its longest text, whose shingles are hashed as one array.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower, keyed, let, restored, settle, slim, small_batches, text_of, words
+from .common import NULL_ID, ascii_lower, keyed, let, release, restored, sent_if_small, settle, slim, small_batches, text_of, words
 from .components import components
 
 RADIUS = 3
 HALF_RADIUS = 1
-#: Fingerprints that the top of a tree is fitted on, at most, and points that a shard should get.
-SAMPLE, SHARD_POINTS, MAX_SHARDS = 40_000, 4_096, 16_384
-LEAF = 256
+#: Fingerprints that the top of a tree is fitted on, at most; points that a shard should get before those that go to
+#: several are counted; shards at most, beyond which they grow (8 bytes a point).
+SAMPLE, SHARD_POINTS, MAX_SHARDS = 262_144, 4_096, 65_536
+LEAF, BLOCK = 256, 1_024
+#: Points that are routed together.
+ROUTED = 1 << 16
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -84,20 +89,21 @@ def halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (u >> np.uint64(32)).astype(np.uint32), (u & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def split_at(points: np.ndarray, seed: int) -> tuple[np.uint32, int] | None:
+def split_at(points: np.ndarray, seed: int, radius: int = HALF_RADIUS) -> tuple[np.unsignedinteger, int] | None:
     """A vantage point of ``points`` and the threshold that parts them most evenly; None if none parts them."""
     rng = np.random.default_rng(seed)
     best = None
     for v in points[rng.integers(0, len(points), 3)]:
-        d = np.bitwise_count(points ^ v)
-        sizes = np.bincount(d, minlength=34)
+        sizes = np.bincount(np.bitwise_count(points ^ v), minlength=66)
         left = np.cumsum(sizes)
-        again = np.array([sizes[max(0, m - HALF_RADIUS + 1) : m + 1].sum() for m in range(34)])
+        again = left - np.append(np.zeros(radius, np.int64), left)[: len(left)]
         cost = np.maximum(left, len(points) - left + again)
         cost[left == 0] = cost[left == len(points)] = len(points) + 1
         m = int(np.argmin(cost))
         if cost[m] < 0.95 * len(points) and (best is None or cost[m] < best[0]):
             best = (cost[m], v, m)
+            if cost[m] < 0.6 * len(points):
+                break
     return best and best[1:]
 
 
@@ -139,52 +145,84 @@ def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray) -> Iterato
         todo += [(right, at[d > m - HALF_RADIUS]), (left, at[d <= m])]
 
 
-def links(half: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a spanning forest of the points that link over 64 bits, by a subtree over this half."""
-    label = np.arange(len(fp))
-    a, b = [], []
+class Forest:
+    """Union-find with path halving over points 0 to n - 1; keeps the pairs that joined two trees."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+        self.pairs: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.pairs.append((i, j))
 
-    def join(p: int, near: np.ndarray) -> None:
-        while (new := np.flatnonzero(label[near] != label[p])).size:
-            q = near[new[0]]
-            a.append(p)
-            b.append(int(q))
-            label[label == label[q]] = label[p]
+
+def links(half: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a spanning forest of the points that link over 64 bits, by a subtree over this half; where the half
+    does not part points any more, by one over all 64 bits."""
+    forest = Forest(len(fp))
 
     def compare(at: np.ndarray) -> None:
-        for lo in range(0, len(at), 1024):  # blocks, so that a leaf that can't be parted stays small in memory
-            x = at[lo : lo + 1024]
-            for hi in range(lo, len(at), 1024):
-                y = at[hi : hi + 1024]
-                near = np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= RADIUS
+        label = np.arange(len(at))  # of this leaf, so that its links come down to a few before they go to the forest
+        for lo in range(0, len(at), BLOCK):  # blocks, so that a leaf that can't be parted stays small in memory
+            x = at[lo : lo + BLOCK]
+            for hi in range(lo, len(at), BLOCK):
+                near = np.bitwise_count(fp[x][:, None] ^ fp[at[hi : hi + BLOCK]][None, :]) <= RADIUS
                 for k in np.flatnonzero(near.sum(axis=1) > (lo == hi)):
-                    join(int(x[k]), y[near[k]])
+                    p, q = lo + k, hi + np.flatnonzero(near[k])
+                    while (new := np.flatnonzero(label[q] != label[p])).size:
+                        other = q[new[0]]
+                        forest.join(int(at[p]), int(at[other]))
+                        label[label == label[other]] = label[p]
 
-    todo = [(np.arange(len(fp)), 0)]
+    todo = [(np.arange(len(fp)), 0, False)]
     while todo:
-        at, depth = todo.pop()
-        if len(at) < 2:
+        at, depth, whole = todo.pop()
+        if len(at) <= LEAF:
+            if len(at) > 1:
+                compare(at)
             continue
-        cut = split_at(half[at], depth) if len(at) > LEAF else None
+        points, radius = (fp, RADIUS) if whole else (half, HALF_RADIUS)
+        cut = split_at(points[at], depth, radius)
         if cut is None:
-            compare(at)
+            if whole:
+                compare(at)
+            else:
+                todo.append((at, depth, True))
             continue
-        d = np.bitwise_count(half[at] ^ cut[0])
-        todo += [(at[d > cut[1] - HALF_RADIUS], depth + 1), (at[d <= cut[1]], depth + 1)]
-    return np.array(a, np.int64), np.array(b, np.int64)
+        d = np.bitwise_count(points[at] ^ cut[0])
+        todo += [(at[d > cut[1] - radius], depth + 1, whole), (at[d <= cut[1]], depth + 1, whole)]
+    pairs = np.array(forest.pairs, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _route_to_shards(tops):
+    def routed(fp: np.ndarray) -> pa.RecordBatch:
+        shards, rows = [], []
+        for tree, half in enumerate(halves(fp)):
+            for shard, at in route(tops.value[tree], half):
+                shards.append(np.full(len(at), 2 * shard + tree, np.int64))
+                rows.append(fp[at])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(np.concatenate(rows))], names=["shard", "fp"])
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for b in batches:
-            fp = b.column("fp").to_numpy()
-            for tree, half in enumerate(halves(fp)):
-                shards, rows = [], []
-                for shard, at in route(tops.value[tree], half):
-                    shards.append(np.full(len(at), 2 * shard + tree, np.int64))
-                    rows.append(fp[at])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(np.concatenate(rows))], names=["shard", "fp"])
+            if len(b):
+                held.append(b.column("fp").to_numpy())
+            if sum(map(len, held)) >= ROUTED:
+                yield routed(np.concatenate(held))
+                held = []
+        if held:
+            yield routed(np.concatenate(held))
 
     return over
 
@@ -216,8 +254,8 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
     spark = points.sparkSession
     n = points.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = np.array([r.fp for r in points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).collect()], np.int64)
-    shards = int(min(MAX_SHARDS, max(1, n // SHARD_POINTS), max(1, len(sample) // 2)))
+    sample = np.array([r.fp for r in points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE).collect()], np.int64)
+    shards = int(min(MAX_SHARDS, max(1, n // SHARD_POINTS), max(1, len(sample) // 4)))
     tops = spark.sparkContext.broadcast([fit_top(np.sort(h), shards) for h in halves(sample)])
     at = points.select("fp").mapInArrow(_route_to_shards(tops), "shard long, fp long")
     return at.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_links, "a long, b long")
@@ -236,6 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = grouped.join(names, "root").select("fp", "root", "component")
     # Each point's least id, or its component's; a fingerprint with very many documents is split by the skew join.
     final = settle(points.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), F.coalesce("root", "fp").alias("root")), "classes")
+    release(points)
     return prints.join(final, "fp").select("doc_id", "_k", "_v", "fp", "component", "root")
 
 
@@ -248,10 +287,12 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest doc_id, in one copy."""
     d = keyed(slim(docs))
-    found = near_duplicates(d.select("doc_id", "text", "_k", "_v")).where("_k = component").select("root", "_k", "_v")
+    found = near_duplicates(d.select("doc_id", "text", "_k", "_v"))
     # By group, not by _k: groups that share their smallest doc_id (null, or one given twice) each keep a document.
-    first = found.groupBy("root", "_k").agg(F.min("_v").alias("_v")).select("_k", "_v")
-    kept = d.join(first, ["_k", "_v"])
+    first = found.where("_k = component").groupBy("root").agg(F.min("_v").alias("_first"))
+    # The others go by their keys, of which there are fewer than of those that stay.
+    gone = found.join(first, "root").where((F.col("_k") != F.col("component")) | (F.col("_v") != F.col("_first"))).select("_k", "_v").distinct()
+    kept = d.join(sent_if_small(settle(gone, "near-duplicates")), ["_k", "_v"], "left_anti")
     if d.select("_v").where("_v <> 0").limit(1).count():  # rows of one doc_id with one text: keep one
         kept = kept.dropDuplicates(["_k", "_v"])
     return restored(kept, docs.columns)

@@ -97,3 +97,45 @@ def test_every_group_keeps_one_row(spark, odd, rows):
         group = dict(zip(texts, brute.linked(fps, fps), strict=True))
         kept = [group[r.text] for r in simhash.one_of_each(docs).collect()]
         assert sorted(kept) == sorted(set(group.values()))
+
+
+def test_links_of_points_that_a_half_does_not_part():
+    """Points with one half in common: the subtree goes on over all 64 bits. Unlike runs of it lose nothing."""
+    r = np.random.default_rng(3)
+    pts = np.unique(np.concatenate([np.uint64(5 << 32) | r.integers(0, 2**12, 1500, np.uint64), r.integers(0, 2**64, 300, np.uint64)]))
+    i, j = np.nonzero(np.bitwise_count(pts[:, None] ^ pts[None, :]) <= 3)
+    want = roots(len(pts), zip(i.tolist(), j.tolist(), strict=True))
+    got = []
+    for half in simhash.halves(pts.view(np.int64)):
+        a, b = simhash.links(half, pts)
+        assert (np.bitwise_count(pts[a] ^ pts[b]) <= 3).all() and len(a) < len(pts)
+        got += zip(a.tolist(), b.tolist(), strict=True)
+    assert roots(len(pts), got) == want
+
+
+def test_linking_is_not_quadratic():
+    import time
+
+    r = np.random.default_rng(1)
+    took = {}
+    for n in (32_000, 128_000):
+        pts = np.unique(r.integers(0, 2**64, n, np.uint64))
+        began = time.process_time()
+        simhash.links(simhash.halves(pts.view(np.int64))[0], pts)
+        took[n] = time.process_time() - began
+    assert took[128_000] < 9 * max(took[32_000], 0.1)
+
+
+def test_a_long_chain(spark):
+    n = 3000
+    edges = [(i, i + 1) for i in range(n)]
+    random.Random(2).shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == dict.fromkeys(range(n + 1), 0)
+
+
+def test_a_very_long_text(spark):
+    t = " ".join(f"w{i % 977}" for i in range(300_000))
+    d = spark.createDataFrame([(1, t), (2, t), (3, "w")], "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_classes(d).collect()}
+    assert got[1] == got[2] and got[1][1] == 1 and got[3][1] == 3
