@@ -8,7 +8,8 @@ joined, and the source coordinates of the first stay. Documents get back their r
 
 Null and empty texts have no words. A null doc_id is the smallest. Rows of one doc_id with unlike texts are ordered
 among themselves by a hash of the text; rows alike in both are one document and get equal results. An empty table
-gives an empty result. Extra columns pass through ``drop_repeated_words``.
+gives an empty result. A very long text is read in chunks, and its paths end where a stretch of ``superkmers`` does; a
+task holds it once, with its spans. Extra columns pass through ``drop_repeated_words``.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, keyed, passed, restored, settle, slim, small_batches
-from .superkmers import Prefix, classes_of, each_with_spans, grouped, later_ones, occurrences, opened, settle_windows, span_rows, word_tokens
+from .common import NULL_ID, keyed, once, passed, release, restored, settle, slim, small_batches
+from .hashes import window_hashes
+from .superkmers import classes_of, each_with_spans, grouped, later_ones, occurrences, opened, settle_windows, span_rows, stretch, word_hashes
 
 WINDOW, MINIMIZER = 20, 6
 PART = 1 << 20
@@ -32,51 +34,53 @@ def _open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces into edges. Equal edges of a part are settled here; the rest of a parted group goes to a join."""
     for part in grouped(batches, PART):
         pieces = part["piece"]
-        t, offset = word_tokens(np.frombuffer(b"".join(pieces), np.uint8), np.append(0, np.cumsum([len(x) for x in pieces])))
+        t, offset = word_hashes(np.frombuffer(b"".join(pieces), np.uint8), np.append(0, np.cumsum([len(x) for x in pieces])))
         piece = np.repeat(np.arange(len(pieces)), np.diff(offset))
-        at = np.flatnonzero(offset[piece + 1] - np.arange(len(t)) >= WINDOW)
-        w1, w2 = (Prefix(t, i)(at, at + WINDOW) for i in (0, 1))
-        order = np.lexsort((w2, w1))
-        at, w1, w2 = at[order], w1[order], w2[order]
+        at = np.flatnonzero(offset[piece + 1] - np.arange(t.shape[1]) >= WINDOW)
         if not len(at):
             continue
+        w1, w2 = window_hashes(t, WINDOW)[:, at]
+        order = np.lexsort((w2, w1))
+        at, w1, w2 = at[order], w1[order], w2[order]
         group = np.cumsum(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
         row = piece[at]
         yield from settle_windows(part, group, row, at - offset[row], w1, w2, WINDOW)
 
 
 def linked_classes(found: DataFrame) -> DataFrame:
-    """Classes of minimizer paths with what follows and precedes them: ``after`` and ``before`` (h, c), null unless it is
-    the same one at every occurrence."""
-    w = Window.partitionBy("_k", "_v").orderBy("at")
+    """Classes of minimizer paths with what follows and precedes them: ``after`` and ``before`` (c, d), null unless it is
+    the same one at every occurrence. Nothing follows across the end of a stretch, where a path may end early."""
+    w = Window.partitionBy("_k", "_v", "_stretch").orderBy("at")
     start, size = F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(0xFFFF))
-    near = found.withColumns({"_end": start + size, "_start": start})
+    near = found.withColumns({"_stretch": stretch("at"), "_end": start + size, "_start": start})
     follows, precedes = F.lead("_start").over(w) == F.col("_end"), F.lag("_end").over(w) == F.col("_start")
-    near = near.withColumns({f"{x}{y}": F.when(cond, f(y).over(w)) for x, cond, f in (("a", follows, F.lead), ("b", precedes, F.lag)) for y in ("h", "c")})
-    aggs = [f(f"{x}{y}").alias(f"{x}{y}_{name}") for x in "ab" for y in "hc" for name, f in (("min", F.min), ("max", F.max))]
-    classes = classes_of(near, *aggs, F.count("ah").alias("a_n"), F.count("bh").alias("b_n"))
-    same = lambda x: (F.col(f"{x}_n") == F.col("n")) & (F.col(f"{x}h_min") == F.col(f"{x}h_max")) & (F.col(f"{x}c_min") == F.col(f"{x}c_max"))
-    one = lambda x: F.when(same(x), F.struct(F.col(f"{x}h_min").alias("h"), F.col(f"{x}c_min").alias("c")))
-    return classes.select("h", "c", "first", "n", one("a").alias("after"), one("b").alias("before"))
+    near = near.withColumns({f"{x}{y}": F.when(cond, f(y).over(w)) for x, cond, f in (("a", follows, F.lead), ("b", precedes, F.lag)) for y in ("c", "d")})
+    aggs = [f(f"{x}{y}").alias(f"{x}{y}_{name}") for x in "ab" for y in "cd" for name, f in (("min", F.min), ("max", F.max))]
+    classes = classes_of(near, *aggs, F.count("ac").alias("a_n"), F.count("bc").alias("b_n"))
+    same = lambda x: (F.col(f"{x}_n") == F.col("n")) & (F.col(f"{x}c_min") == F.col(f"{x}c_max")) & (F.col(f"{x}d_min") == F.col(f"{x}d_max"))
+    one = lambda x: F.when(same(x), F.struct(F.col(f"{x}c_min").alias("c"), F.col(f"{x}d_min").alias("d")))
+    out = classes.select("h", "c", "d", "first", "n", one("a").alias("after"), one("b").alias("before"))
+    out._settled_at = classes._settled_at
+    return out
 
 
 def compact_paths(classes: DataFrame) -> DataFrame:
-    """Repeated nonbranching paths: h, c of the first class, its first occurrence, length in windows, n occurrences; settled.
+    """Repeated nonbranching paths: h, c, d of the first class, its first occurrence, length in windows, n occurrences; settled.
 
     Where two classes always follow each other their first occurrences do too, so a path is a run of
     first occurrences in one document, and a window over the source coordinates finds it without walking along the links.
     """
-    rows = classes.where("n > 1").withColumns({"_k": F.col("first._k"), "_v": F.col("first._v"), "at": F.col("first.at"), "me": F.struct("h", "c")})
+    rows = classes.where("n > 1").withColumns({"_k": F.col("first._k"), "_v": F.col("first._v"), "at": F.col("first.at"), "me": F.struct("c", "d")})
     size, start = F.col("at").bitwiseAND(F.lit(0xFFFF)), F.shiftright("at", 16)
-    rows = rows.withColumns({"size": size, "start": start})
-    w = Window.partitionBy("_k", "_v").orderBy("at")
+    rows = rows.withColumns({"size": size, "start": start, "stretch": stretch("at")})
+    w = Window.partitionBy("_k", "_v", "stretch").orderBy("at")
     back = lambda c: F.lag(c).over(w)
     joined = (back("me") == F.col("before")) & (back("after") == F.col("me")) & (back(F.col("start") + F.col("size")) == F.col("start")) & (back("n") == F.col("n"))
     rows = rows.withColumn("new", (~F.coalesce(joined, F.lit(False))).cast("int"))
     rows = rows.withColumn("path", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.when(F.col("new") == 1, F.struct("h", "c", "first"))
-    paths = rows.groupBy("_k", "_v", "path").agg(F.first(head, ignorenulls=True).alias("head"), F.sum("size").alias("length"), F.first("n").alias("n"))
-    return settle(paths.select("head.h", "head.c", "head.first", "length", "n"), "paths")
+    head = F.when(F.col("new") == 1, F.struct("h", "c", "d", "first"))
+    paths = rows.groupBy("_k", "_v", "stretch", "path").agg(F.first(head, ignorenulls=True).alias("head"), F.sum("size").alias("length"), F.first("n").alias("n"))
+    return settle(paths.select("head.h", "head.c", "head.d", "head.first", "length", "n"), "paths")
 
 
 def _paths(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,13 +92,16 @@ def _paths(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def repeated_words(docs: DataFrame) -> DataFrame:
     """_k, _v, start, end of word ranges to remove (overlapping). ``docs`` as ``keyed`` gives it."""
+    docs = once(docs)
     found, classes, paths = _paths(docs)
     return later_ones(found, paths, WINDOW).unionByName(opened(docs, classes, "word", WINDOW, _open_up))
 
 
 def repeated_paths(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (in words) of the first occurrence of each repeated nonbranching path, and its number of copies."""
-    _, _, paths = _paths(keyed(docs.select("doc_id", "text")))
+    found, classes, paths = _paths(once(keyed(docs.select("doc_id", "text"))))
+    release(found)
+    release(classes)
     start = F.shiftright("first.at", 16)
     return paths.select(F.when(F.col("first._k") != NULL_ID, F.col("first._k")).alias("doc_id"), start.alias("start"), (start + F.col("length") - 1 + WINDOW).alias("end"), F.col("n").alias("copies"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .labelled import fold, sample
-from .superkmers import pieces, texts, word_tokens
+from .superkmers import pieces, texts, word_hashes
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
 SAMPLE = {0: 8_000, 1: 16_000}
@@ -40,8 +40,8 @@ def index_vectors() -> np.ndarray:
 
 
 def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t, at = word_tokens(data, offsets)
-    return (t >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), at
+    t, at = word_hashes(data, offsets)
+    return (t[0] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), at
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ show equal 100-byte strings, of which the earliest stays.
 
 Null and empty texts have no bytes. A null doc_id is the smallest. Rows of one doc_id with unlike texts are ordered
 among themselves by a hash of the text; rows alike in both are one document and get equal results. An empty table
-gives an empty result. Extra columns pass through ``drop_repeats``, which may cut a character in two: its text is read
+gives an empty result. A very long text is read in chunks and gathered by stretches; a task holds it once, with its
+spans. Extra columns pass through ``drop_repeats``, which may cut a character in two: its text is read
 back with replacement of the broken ends.
 """
 
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed, passed, restored, slim
-from .superkmers import _BYTE, Prefix, each_with_spans, grouped, repeats, settle_windows, span_rows
+from .hashes import BYTE, window_hashes
+from .superkmers import each_with_spans, grouped, repeats, settle_windows, span_rows
 
 WINDOW, MINIMIZER = 100, 32
 PART = 1 << 20
@@ -146,8 +148,8 @@ def _open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         group = np.cumsum(common_prefixes(text, order, WINDOW) < WINDOW)
         row = piece[order]
-        t = _BYTE[text]
-        w1, w2 = (Prefix(t, i)(order, order + WINDOW) for i in (0, 1))
+        # Only windows of a group in several parts are compared beyond this one.
+        w1, w2 = window_hashes(BYTE[:, text], WINDOW)[:, order] if part["parted"].any() else np.zeros((2, len(order)), np.uint64)
         yield from settle_windows(part, group, row, order - offset[row], w1, w2, WINDOW)
 
 

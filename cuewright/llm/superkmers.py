@@ -9,8 +9,9 @@ Equal windows have equal minimizers at equal offsets, so:
 3. only where a minimizer has several classes may windows repeat across them. Of each such class the first occurrence
    is opened up and compared window by window, which is what the calling operator does by its own method.
 
-Classes are told apart by 128 bits of hash. Joins are on keys that adaptive execution can split; a minimizer with very
-many classes is opened up in blocks whose results are merged by a combined minimum.
+Classes and windows are told apart by two hashes of 64 bits (``hashes``). Joins are on keys that adaptive execution can
+split; a minimizer with very many classes is opened up in blocks whose results are merged by a combined minimum. What
+is gathered by document is gathered by stretches of ``STRETCH`` tokens, so that a very long text is several groups.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import once, release, settle, small_batches
+from .hashes import BYTE, Prefix, range_hashes, span_hashes
 
 CHUNK = 1 << 18
 #: Class-first occurrences of one minimizer that are opened up together.
@@ -31,49 +33,11 @@ BLOCK = 2_048
 #: Pieces of text that a task holds before it passes them on.
 PIECES = 20_000
 
-_rng = np.random.default_rng(7)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
-_MUL = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)]
+#: Tokens of a document (as a power of 2) whose rows are gathered or ordered together.
+STRETCH = 22
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers and their inverses modulo 2**64."""
-    size = 1 << max(10, int(n).bit_length())
-    if (which, size) not in _powers:
-        m = int(_MUL[which])
-        with np.errstate(over="ignore"):
-            both = []
-            for x in (m, pow(m, -1, 2**64)):
-                p = np.full(size, x, np.uint64)
-                p[0] = 1
-                both.append(np.multiply.accumulate(p))
-        _powers[which, size] = both[0], both[1]
-    p, q = _powers[which, size]
-    return p[:n], q[:n]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-class Prefix:
-    """Polynomial hashes of any token range of ``t`` in constant time."""
-
-    def __init__(self, t: np.ndarray, which: int):
-        p, self.inv = _power(which, len(t) + 1)
-        self.sums = np.zeros(len(t) + 1, np.uint64)
-        np.cumsum(t * p[: len(t)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.inv[start])
-
-    def all(self, n: int) -> np.ndarray:
-        """Of every range of n tokens."""
-        return mixed((self.sums[n:] - self.sums[:-n]) * self.inv[: len(self.sums) - n])
+#: (minimizer tokens, ends of rows in tokens, both hash lanes of token ranges by start and end)
+Tokens = tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -84,8 +48,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if w > have else x
 
 
-def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _BYTE[data], offsets
+def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    return BYTE[0][data], offsets, lambda start, end: range_hashes(data, start, end)
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,21 +67,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both lanes (2 x words), and the texts' offsets in words."""
     starts, ends, at = word_bounds(data, offsets)
-    return Prefix(_BYTE[data], 2)(starts, ends) + (ends - starts).astype(np.uint64) if len(starts) else np.zeros(0, np.uint64), at
+    return range_hashes(data, starts, ends) if len(starts) else np.zeros((2, 0), np.uint64), at
 
 
-TOKENS: dict[str, Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]] = {"byte": byte_tokens, "word": word_tokens}
+def word_tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    both, at = word_hashes(data, offsets)
+    return both[0], at, lambda start, end: span_hashes(both, start, end - start)
 
 
-def runs(t: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer hash, class hash, start, windows) of each super-k-mer of rows t[offsets[i]:offsets[i+1]]; len(t) < 2**24."""
-    empty = np.zeros(0, np.uint64)
+TOKENS: dict[str, Callable[[np.ndarray, np.ndarray], Tokens]] = {"byte": byte_tokens, "word": word_tokens}
+
+
+def runs(t: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer hash, start, windows) of each super-k-mer of rows t[offsets[i]:offsets[i+1]]; len(t) < 2**24."""
+    none = np.zeros(0, np.int64)
     if len(t) < window:
-        return empty, empty, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one = Prefix(t, 0)
-    g = one.all(k)
+        return np.zeros(0, np.uint64), none, none
+    g = Prefix(t, 0).all(k)
     low = np.uint64((1 << 24) - 1)
     anchor = (sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), window - k + 1) & low).astype(np.int64)
     # Window starts within a row: all but the last window - 1 tokens of each.
@@ -127,12 +96,11 @@ def runs(t: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.nd
         ok[lo:hi] = False
     at = np.flatnonzero(ok)
     if not len(at):
-        return empty, empty, at, at
+        return np.zeros(0, np.uint64), none, none
     a = anchor[at]
     new = np.append(True, (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1))
     first = np.flatnonzero(new)
-    start, windows = at[first], np.diff(np.append(first, len(at)))
-    return g[a[first]], Prefix(t, 1)(start, start + windows - 1 + window) + windows.astype(np.uint64), start, windows
+    return g[a[first]], at[first], np.diff(np.append(first, len(at)))
 
 
 def texts(b: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -155,26 +123,39 @@ def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 4 * CHUNK) -> Iter
         i = j
 
 
+def chunks(unit: str, data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[Tokens, int, int]]:
+    """Tokens of several rows, or of one row by parts that overlap by a window less one token; the first row; the place in it."""
+    for i, j in pieces(data, offsets, CHUNK if unit == "byte" else 4 * CHUNK):
+        mine, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if j > i + 1:
+            yield TOKENS[unit](mine, ends), i, 0
+        elif unit == "byte":
+            for lo in range(0, len(mine) - window + 1, CHUNK):
+                part = mine[lo : lo + CHUNK + window - 1]
+                yield byte_tokens(part, np.array([0, len(part)])), i, lo
+        else:
+            t, _, content = word_tokens(mine, ends)
+            for lo in range(0, len(t) - window + 1, CHUNK):
+                part = t[lo : lo + CHUNK + window - 1]
+                yield (part, np.array([0, len(part)]), lambda start, end, lo=lo, content=content: content(start + lo, end + lo)), i, lo
+
+
 def super_kmers(unit: str, window: int, k: int, whole: bool):
-    """mapInArrow (_k, _v, text) -> h, or with ``whole`` h, c, _k, _v, at (start * 2**16 + windows)."""
+    """mapInArrow (_k, _v, text) -> h, or with ``whole`` h, c, d, _k, _v, at (start * 2**16 + windows)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = texts(b)
             keys, variants = b.column("_k").to_numpy(), b.column("_v").to_numpy()
-            for i, j in pieces(data, offsets, CHUNK if unit == "byte" else 4 * CHUNK):
-                t, at = TOKENS[unit](data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for lo in range(0, max(len(t) - window + 1, 0), CHUNK if j == i + 1 else max(len(t), 1)):
-                    hi = min(len(t), lo + CHUNK + window - 1) if j == i + 1 else len(t)
-                    h, c, start, n = runs(t[lo:hi], at if j > i + 1 else np.array([0, hi - lo]), window, k)
-                    if not len(h):
-                        continue
-                    if not whole:
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
-                        continue
-                    row = np.searchsorted(at, start, "right") - 1 if j > i + 1 else np.zeros(len(start), np.int64)
-                    where = start - at[row] if j > i + 1 else start + lo
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), keys[i + row], variants[i + row], (where << 16) | n)], names=["h", "c", "_k", "_v", "at"])
+            for (t, at, content), i, lo in chunks(unit, *texts(b), window):
+                h, start, n = runs(t, at, window, k)
+                if not len(h):
+                    continue
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+                    continue
+                row = np.searchsorted(at, start, "right") - 1
+                c, d = content(start, start + n - 1 + window).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c, d, keys[i + row], variants[i + row], ((start - at[row] + lo) << 16) | n)], names=["h", "c", "d", "_k", "_v", "at"])
 
     return over
 
@@ -183,22 +164,27 @@ def _widen(df: DataFrame) -> DataFrame:
     return df.withColumns({"start": F.shiftright("at", 16), "windows": F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int")})
 
 
+def stretch(at: str) -> Column:
+    return F.shiftright(at, 16 + STRETCH)
+
+
 def occurrences(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
-    """h, c, _k, _v, at of the super-k-mers whose minimizer the corpus has at least twice; settled."""
+    """h, c, d, _k, _v, at of the super-k-mers whose minimizer the corpus has at least twice; settled."""
     own = docs.select("_k", "_v", "text")
     again = settle(own.mapInArrow(super_kmers(unit, window, k, False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "minimizers")
-    found = own.mapInArrow(super_kmers(unit, window, k, True), "h long, c long, _k long, _v long, at long")
-    return settle(found.join(again, "h"), "super-kmers")
+    found = settle(own.mapInArrow(super_kmers(unit, window, k, True), "h long, c long, d long, _k long, _v long, at long").join(again, "h"), "super-kmers")
+    release(again)
+    return found
 
 
 def classes_of(found: DataFrame, *more) -> DataFrame:
-    """h, c, first (_k, _v, at), n of each class, and the aggregates ``more``; settled."""
-    return settle(found.groupBy("h", "c").agg(F.min(F.struct("_k", "_v", "at")).alias("first"), F.count(F.lit(1)).alias("n"), *more), "classes")
+    """h, c, d, first (_k, _v, at), n of each class, and the aggregates ``more``; settled."""
+    return settle(found.groupBy("h", "c", "d").agg(F.min(F.struct("_k", "_v", "at")).alias("first"), F.count(F.lit(1)).alias("n"), *more), "classes")
 
 
 def later_ones(found: DataFrame, heads: DataFrame, window: int) -> DataFrame:
-    """_k, _v, start, end of all but the first occurrence. ``heads``: h, c, first, length (in windows)."""
-    late = found.join(heads.select("h", "c", "first", "length"), ["h", "c"]).where(F.struct("_k", "_v", "at") != F.col("first"))
+    """_k, _v, start, end of all but the first occurrence. ``heads``: h, c, d, first, length (in windows)."""
+    late = found.join(heads.select("h", "c", "d", "first", "length"), ["h", "c", "d"]).where(F.struct("_k", "_v", "at") != F.col("first"))
     return _widen(late).select("_k", "_v", "start", (F.col("start") + F.col("length") - 1 + window).alias("end"))
 
 
@@ -212,14 +198,13 @@ def opened(docs: DataFrame, classes: DataFrame, unit: str, window: int, open_up)
     firsts = _widen(classes.select("h", "first.*").join(several, "h"))
     blocks = F.ceil(F.col("classes") / BLOCK)
     block = F.pmod(F.xxhash64("_k", "_v", "at"), blocks)
-    firsts = firsts.select("_k", "_v", F.struct("h", block.alias("block"), (blocks > 1).alias("parted"), "start", "windows").alias("one"))
-    per_doc = firsts.groupBy("_k", "_v").agg(F.collect_list("one").alias("ones"))
-    contexts = docs.select("_k", "_v", "text").join(per_doc, ["_k", "_v"])
-    if docs.select("_v").where("_v <> 0").limit(1).count():  # rows alike in id and text are one document
-        contexts = contexts.dropDuplicates(["_k", "_v"])
+    firsts = firsts.select("_k", "_v", stretch("at").alias("stretch"), F.struct("h", block.alias("block"), (blocks > 1).alias("parted"), "start", "windows").alias("one"))
+    per_doc = firsts.groupBy("_k", "_v", "stretch").agg(F.collect_list("one").alias("ones"))
+    contexts = docs.select("_k", "_v", "text").join(per_doc, ["_k", "_v"]).drop("stretch")
     contexts = contexts.mapInArrow(_contexts(unit, window), "h long, block long, parted boolean, _k long, _v long, start long, windows int, piece binary")
     found = contexts.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(open_up, "open boolean, _k long, _v long, start long, end long, w1 long, w2 long")
     found = settle(found, "opened")
+    release(classes)
     first = found.where("open")
     least = settle(first.groupBy("w1", "w2").agg(F.min(F.struct("_k", "_v", "start")).alias("first")), "first-windows")
     merged = first.join(least, ["w1", "w2"]).where(F.struct("_k", "_v", "start") != F.col("first"))
@@ -230,9 +215,10 @@ def opened(docs: DataFrame, classes: DataFrame, unit: str, window: int, open_up)
 def repeats(docs: DataFrame, unit: str, window: int, k: int, open_up) -> DataFrame:
     """_k, _v, start, end of token ranges that lose (overlapping; several a document). ``docs`` as ``keyed`` gives it."""
     small_batches(docs.sparkSession)
+    docs = once(docs)
     found = occurrences(docs, unit, window, k)
     classes = classes_of(found)
-    heads = classes.where("n > 1").withColumn("length", F.col("first.at").bitwiseAND(F.lit(0xFFFF)))
+    heads = settle(classes.where("n > 1").select("h", "c", "d", "first", F.col("first.at").bitwiseAND(F.lit(0xFFFF)).alias("length")), "heads")
     return later_ones(found, heads, window).unionByName(opened(docs, classes, unit, window, open_up))
 
 

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .hashes import range_hashes, stirred
 from .labelled import fold, sample
-from .superkmers import _BYTE, Prefix, mixed, pieces, texts, word_bounds
+from .superkmers import pieces, texts, word_bounds
 
 WINDOW, STRIDE = 48, 36
 WORDS, CHARS, WORD_DIM, CHAR_DIM, UNITS = 1 << 14, 1 << 14, 8, 8, 8
@@ -50,7 +51,7 @@ class Tokens:
             self.ids, self.word, self.gram, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
             self.count = np.zeros((0, 1), np.float32)
             return
-        h = Prefix(_BYTE[data], 2)(starts, ends)
+        h = range_hashes(data, starts, ends)[0]
         _, one, self.ids = np.unique(h, return_index=True, return_inverse=True)
         self.word = (h[one] >> np.uint64(50)).astype(np.int64)
         s, n = starts[one], (ends - starts)[one]
@@ -60,7 +61,7 @@ class Tokens:
         near = {d: np.where((place + d >= low) & (place + d < high), data[np.clip(place + d, 0, len(data) - 1)], 0).astype(np.uint64) for d in range(-2, 3)}
         three = (near[-1] << np.uint64(16)) | (near[0] << np.uint64(8)) | near[1]
         five = (near[-2] << np.uint64(40)) | (near[2] << np.uint64(32)) | three | np.uint64(1 << 56)
-        self.gram = np.array([mixed(three), mixed(five)]) >> np.uint64(64 - CHARS.bit_length() + 1)
+        self.gram = np.array([stirred(three), stirred(five)]) >> np.uint64(64 - CHARS.bit_length() + 1)
         self.gram = self.gram.astype(np.int64)
         self.count = n[:, None].astype(np.float32)
 

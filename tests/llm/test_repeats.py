@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cuewright.llm import debruijn, suffix_array, superkmers
+from cuewright.llm import debruijn, hashes, suffix_array, superkmers
 
 from . import brute
 
@@ -69,11 +69,11 @@ def test_chunks(monkeypatch):
     r = np.random.default_rng(1)
     t = r.integers(0, 4, 5000).astype(np.uint8)
     t[3000:4000] = t[:1000]
-    whole = superkmers.runs(superkmers._BYTE[t], np.array([0, len(t)]), 100, 32)
-    windows = sum(whole[3])
+    whole = superkmers.runs(hashes.BYTE[0][t], np.array([0, len(t)]), 100, 32)
+    windows = sum(whole[2])
     assert windows == len(t) - 99
     by_window = {}
-    for h, s, n in zip(whole[0], whole[2], whole[3], strict=True):
+    for h, s, n in zip(*whole, strict=True):
         by_window |= {int(s) + i: int(h) for i in range(n)}
     assert all(by_window[i] == by_window[3000 + i] for i in range(901))
 
@@ -143,3 +143,68 @@ def test_more_words_than_a_chunk(spark):
     w = [f"{r.randrange(10**5)}" for _ in range(superkmers.CHUNK + 3_000)]
     rows = [(1, " ".join(w)), (2, " ".join(w[superkmers.CHUNK - 60 : superkmers.CHUNK + 60]))]
     assert check_words(spark, rows) == 120
+
+
+def two_words(bits):
+    """Unlike words of 2**bits letters that a polynomial hash modulo 2**64 can't tell apart: each half is the other's complement."""
+    a, b = "ab", "ba"
+    while len(a) < 2**bits:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    rows = []
+    for bits in (9, 10, 11):
+        r = random.Random(bits)
+        own = [f"x{r.randrange(10**9)}" for _ in range(19)]
+        a, b = two_words(bits)
+        rows += [(10 * bits + 1, " ".join([*own, a])), (10 * bits + 2, " ".join([*own, b])), (10 * bits + 3, " ".join([*own, a, "more"]))]
+    assert check_words(spark, rows) == 60
+    assert check_bytes(spark, rows) > 0
+
+
+def test_patchwork_of_confusing_words(spark):
+    r = random.Random(12)
+    base = [w for bits in (3, 5, 9, 10, 11) for w in two_words(bits)] + ["x", "y"]
+    passages = [[r.choice(base) for _ in range(24)] for _ in range(6)]
+    rows = [(i, " ".join(w for _ in range(3) for w in r.choice(passages)[r.randint(0, 3) :])) for i in range(30)]
+    assert check_words(spark, rows) > 100
+
+
+def test_hashes_tell_ranges_apart():
+    r = np.random.default_rng(2)
+    data = r.integers(97, 99, 3000).astype(np.uint8)
+    start = r.integers(0, 2000, 4000)
+    end = start + r.integers(1, 900, 4000)
+    both = hashes.range_hashes(data, start, end)
+    raw = data.tobytes()
+    texts = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+    for lane in both:
+        assert len(set(lane.tolist())) == len(set(texts)) and len({(t, int(h)) for t, h in zip(texts, lane, strict=True)}) == len(set(texts))
+    tokens = hashes.BYTE[:, data[:400]]
+    at, size = r.integers(0, 300, 500), r.integers(1, 90, 500)
+    spans = hashes.span_hashes(tokens, at, size)
+    texts = [raw[s : s + n] for s, n in zip(at.tolist(), size.tolist(), strict=True)]
+    assert all(len({(t, int(h)) for t, h in zip(texts, lane, strict=True)}) == len(set(texts)) == len(set(lane.tolist())) for lane in spans)
+    for n in (1, 2, 7, 20, 100):
+        windows = hashes.window_hashes(tokens, n)
+        assert windows.shape == (2, 401 - n)
+        texts = [raw[i : i + n] for i in range(401 - n)]
+        assert all(len({(t, int(h)) for t, h in zip(texts, lane, strict=True)}) == len(set(texts)) == len(set(lane.tolist())) for lane in windows)
+
+
+def test_stretches_part_what_is_gathered(spark, rows, monkeypatch):
+    """Rows of one document in many groups: the same results."""
+    monkeypatch.setattr(superkmers, "STRETCH", 4)
+    check_bytes(spark, patchwork(11, 30))
+    check_words(spark, [(r[0], r[1]) for r in rows])
+
+
+def test_many_equal_rows(spark):
+    """Copies under one id or under none are one document and cost one row."""
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, t)] * 300 + [(4, t + " end")] * 200 + [(5, "own")]
+    for f, words in ((suffix_array.byte_digest, len(t)), (debruijn.word_digest, 60)):
+        got = [(r[0], r[2]) for r in f(spark.createDataFrame(rows, DOC).repartition(3)).collect()]
+        assert sorted(got, key=repr) == sorted([(None, 0)] * 300 + [(4, words)] * 200 + [(5, 0)], key=repr)
