@@ -4,11 +4,14 @@ A pattern proposes, a check decides (Luhn, mod 97, octets, calendar, number plan
 keyed Feistel network within its own format: card numbers stay valid card numbers of the same length and grouping,
 dates stay dates in the same notation, addresses stay addresses. The permutation depends on the key and the kind only,
 so equal values get equal pseudonyms in every document, and whoever has the key can go back. A cycle-walk keeps the result inside
-the format where the network's domain is larger. Dates are permuted as days, so one day stays one day in all notations.
+the format where the network's domain is larger. Dates are permuted as days, so one day stays one day in all notations;
+days of 1900 to 2099 stay among themselves, and so do the others of the years 1 to 9999. Phone numbers keep their country
+code, and what follows it is permuted as the same number is without one, so notations of a number stay linked.
 
-One narrow stage: each row alone, memory of one Arrow batch. Null stays null; empty stays empty; texts without a digit,
+One narrow stage: each row alone, memory of one Arrow batch, time linear in a text however long its values are. Null
+stays null; empty stays empty; texts without a digit,
 sign or key prefix that some kind needs are passed on unread. Null ids, ties and repeated rows change nothing. An empty table gives an empty
-result. Extra columns pass through ``pseudonymise``; those named like its own (``pii``) are replaced.
+result. Extra columns pass through ``pseudonymise``; its own one is named ``pii``, with _ behind it if there is such a one.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passed, restored, slim, small_batches
+from .common import free_name, passed, restored, slim, small_batches
 
 ROUNDS = 8
 #: Symbols permuted as one number: its half must fit the 64 bytes of a round.
 CHUNK = 190
 #: For tests and the query; in production pass a secret one.
 KEY = b"a key for tests only"
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+FIRST_DAY, LAST_DAY, ALL_DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal(), datetime.date.max.toordinal()
+#: Country codes of two digits. 1 and 7 have one; all others have three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -121,7 +126,7 @@ def phone(s: str, c: Cipher) -> str | None:
     d = only_digits(s)
     if not 8 <= len(d) <= 15:
         return None
-    code = only_digits(re.match(r"\+\d{1,3}", s)[0]) if s[0] == "+" else ""
+    code = d[: 1 if d[0] in "17" else 2 if d[:2] in TWO_DIGIT_CODES else 3] if s[0] == "+" else ""
     return fill(s, code + c.digits(d[len(code) :], "phone"))
 
 
@@ -181,6 +186,15 @@ def iban(s: str, c: Cipher) -> str | None:
 _DATES = ((re.compile(r"(\d{4})([-/.])(\d{2})\2(\d{2})"), (1, 3, 4)), (re.compile(r"(\d{2})([-/.])(\d{2})\2(\d{4})"), (4, 3, 1)))
 
 
+def another_day(day: int, c: Cipher) -> int:
+    """By ordinal: a day of 1900 to 2099 for one of these, another one for any other."""
+    modern = LAST_DAY - FIRST_DAY + 1
+    if FIRST_DAY <= day <= LAST_DAY:
+        return FIRST_DAY + c.number(day - FIRST_DAY, modern, "date")
+    n = c.number(day - 1 if day < FIRST_DAY else day - 1 - modern, ALL_DAYS - modern, "date")
+    return n + 1 if n + 1 < FIRST_DAY else n + 1 + modern
+
+
 def date(s: str, c: Cipher) -> str | None:
     """Year first, or day, month, year; month, day, year where only that is a date. Short years and days stay as they are."""
     for pattern, order in _DATES:
@@ -192,13 +206,11 @@ def date(s: str, c: Cipher) -> str | None:
                 day = datetime.date(int(m[y]), int(m[mo]), int(m[d])).toordinal()
             except ValueError:
                 continue
-            if not FIRST_DAY <= day <= LAST_DAY:
-                return None
             # Day-first and month-first notations differ only where the day exceeds 12: days up to 12 and beyond stay apart.
             new = datetime.date.fromordinal(day)
             small = new.day <= 12
             while True:
-                new = datetime.date.fromordinal(FIRST_DAY + c.number(new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+                new = datetime.date.fromordinal(another_day(new.toordinal(), c))
                 if (new.day <= 12) == small:
                     break
             part = {y: f"{new.year:04}", mo: f"{new.month:02}", d: f"{new.day:02}", 2: m[2]}
@@ -235,9 +247,9 @@ _VALUE = r"""(?:"(?:[^"\\\n]|\\.){8,}+"|'(?:[^'\\\n]|\\.){8,}+'|"[^\s"]{8,}+|'[^
 KINDS: dict[str, tuple[str, Callable[[str, Cipher], str | None]]] = {
     "secret": (r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[ ]{0,2}[=:][ ]{0,2}" + _VALUE, secret),
     "access_key": (r"\bA[KS]IA[0-9A-Z]{16}\b", access_key),
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}\b", email),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+\b", email),
     "iban": (r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", iban),
-    "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)", date),
+    "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?:(?=T\d)|(?![\w/-]|\.\d))", date),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ipv4),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", phone),
@@ -296,11 +308,11 @@ def _mapped(key: bytes, back: bool):
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` (``back``: with the values again), and ``pii``: kind, start, end of each in the old text."""
+    """``docs`` with pseudonyms in ``text`` (``back``: with the values again), and ``pii`` (or that with _ behind it): kind, start, end of each in the old text."""
     small_batches(docs.sparkSession)
-    d = slim(docs)
+    d, name = slim(docs), free_name("pii", docs.columns)
     out = d.select("doc_id", "_rest", "text").mapInArrow(_mapped(key, back), passed(d.schema, "doc_id", "_rest", "text") + ", pii array<struct<kind:string,start:int,end:int>>")
-    return restored(out, docs.columns, extra=("pii",))
+    return restored(out.withColumnRenamed("pii", name), docs.columns, extra=(name,))
 
 
 def pseudonym_rows(docs: DataFrame, key: bytes = KEY) -> DataFrame:

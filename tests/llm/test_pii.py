@@ -59,9 +59,10 @@ def test_neighbours(t, kinds):
 def test_operator(spark, none, odd):
     d = spark.createDataFrame([(1, TEXT, "a"), (2, None, "b"), (3, "", "c"), (None, "again 4130383451285691", "d"), (5, "x " * 20000 + "44.195.207.247", "e")], "doc_id long, text string, pii string")
     out = pii.pseudonymise(d)
-    assert out.columns == ["doc_id", "text", "pii"]
+    assert out.columns == ["doc_id", "text", "pii", "pii_"]
     got = {r.doc_id: r for r in out.collect()}
-    assert got[2].text is None and got[3].text == "" and len(got[1].pii) == 15 and got[5].pii[0].kind == "ipv4"
+    assert got[2].text is None and got[3].text == "" and len(got[1].pii_) == 15 and got[5].pii_[0].kind == "ipv4"
+    assert {r.pii for r in got.values()} == set("abcde")
     assert got[None].text.split()[1] in got[1].text  # linked across documents
     back = pii.pseudonymise(out.select("doc_id", "text"), back=True)
     assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in d.collect()}
@@ -100,3 +101,45 @@ def test_iban_before_words(number, behind):
     new, found = replace(t, Cipher(KEY))
     assert found[0] == ("iban", 3, 3 + len(number)) and number not in new
     assert pii.iban(new[3 : 3 + len(number)], Cipher(KEY)) is not None and replace(new, Cipher(KEY, True))[0] == t
+
+
+@pytest.mark.parametrize("value", ["a" * 1000 + "@example.com", "tom@" + "b" * 300 + ".example.com", "x@" + ".".join(["h"] * 50) + ".museum", "y@z." + "t" * 40])
+def test_addresses_of_any_length(value):
+    t = f"to {value}. And on"
+    new, found = replace(t, Cipher(KEY))
+    assert [(k, t[s:e]) for k, s, e in found] == [("email", value)]
+    assert new != t and value not in new and replace(new, Cipher(KEY, True))[0] == t
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for t in ("a." * 500_000, "a@" * 500_000, "x@" + "b." * 500_000, "1 " * 500_000, "password=" * 100_000, "+1" * 500_000, "1" * 1_000_000, "2024-" * 200_000):
+        began = time.process_time()
+        replace(t, Cipher(KEY))
+        assert time.process_time() - began < 20, t[:10]
+
+
+def test_days_of_all_years():
+    c, back = Cipher(KEY), Cipher(KEY, True)
+    r = random.Random(5)
+    for y in (1, 9, 999, 1582, 1899, 1900, 2099, 2100, 9999, *(r.randrange(1, 10_000) for _ in range(200))):
+        day = f"{y:04}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}"
+        new, found = replace(f"on {day}T10:00:00Z", c)
+        assert [k for k, *_ in found] == ["date"] and new[3:13] != day and new[13:] == "T10:00:00Z"
+        assert (1900 <= int(new[3:7]) <= 2099) == (1900 <= y <= 2099)
+        assert replace(new, back)[0] == f"on {day}T10:00:00Z"
+    assert replace("1899-12-31", c)[0] != "1899-12-31" and replace("0000-01-01", c)[1] == []
+
+
+@pytest.mark.parametrize("forms", [("+1 212 555 0100", "+12125550100", "+1 (212) 555-0100", "(212) 555-0100", "212-555-0100", "212.555.0100"), ("+44 20 7946 0958", "+442079460958", "+44-20-7946-0958"), ("+353 1 555 0123", "+35315550123")])
+def test_notations_of_a_phone_number_stay_linked(forms):
+    c = Cipher(KEY)
+    got = []
+    for f in forms:
+        new, found = replace(f"call {f} now", c)
+        assert [k for k, *_ in found] == ["phone"] and f not in new
+        assert replace(new, Cipher(KEY, True))[0] == f"call {f} now"
+        got.append(pii.only_digits(new))
+    assert len({x[-len(min(got, key=len)) :] for x in got}) == 1
+    assert len({x for x in got if len(x) == max(map(len, got))}) == 1
