@@ -123,7 +123,7 @@ def test_linking_is_not_quadratic():
         began = time.process_time()
         simhash.links(simhash.halves(pts.view(np.int64))[0], pts)
         took[n] = time.process_time() - began
-    assert took[128_000] < 9 * max(took[32_000], 0.1)
+    assert took[128_000] < 12 * max(took[32_000], 0.1)  # 16 times would be quadratic
 
 
 def test_a_long_chain(spark):
