@@ -6,7 +6,7 @@ Each hashed word has a sparse random index vector; its word vector is the sum of
 step from word to word, and its length. The network is trained in numpy on at most ``SAMPLE`` labelled rows (a
 documented bound; hash order), its logits are shifted to the shares that the labels have without the bound, and its temperature is set on a part of these that it did not see.
 
-Null and empty texts pool to zeros and get the score of that vector. Null labels and labels without documents are
+Very long texts are pooled whole, a batch of texts in pieces. Null and empty texts pool to zeros and get the score of that vector. Null labels and labels without documents are
 not learnt from; a label given twice counts once. With labels of one kind only, the score is that share. Repeated rows
 get equal scores; an empty table gives an empty result. Labels, lang, source and doc_id are no inputs.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .labelled import fold, sample
+from .labelled import fold, sample, stands_for
 from .superkmers import pieces, texts, word_hashes
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
@@ -101,9 +101,9 @@ def pool(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarr
 class Network:
     """Standardised inputs, one hidden layer of tanh, a logit, a temperature. Adam on the log loss."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5, stands_for: dict[int, float] | None = None):
+    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5, weights: dict[int, float] | None = None):
         # From the sample's odds to those of the rows that it stands for.
-        bad, good = (stands_for[0], stands_for[1]) if stands_for else (1.0, 1.0)
+        bad, good = (weights[0], weights[1]) if weights else (1.0, 1.0)
         self.shift, stands = float(np.log(good / bad)), np.where(y == 1, good, bad)
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
@@ -163,10 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     spark = docs.sparkSession
     small_batches(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
-    some, stands_for = sample(docs.select("doc_id", "text"), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE)
+    some, counts = sample(docs.select("doc_id", "text"), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE)
     rows = sorted(some.mapInArrow(_features(vectors), "doc_id long, y int, x array<float>").collect(), key=lambda r: (r.doc_id, r.x))
     x, y = np.array([r.x for r in rows], np.float64).reshape(-1, FEATURES), np.array([r.y for r in rows], np.float64)
-    return vectors, spark.sparkContext.broadcast(Network(x, y, stands_for=stands_for))
+    return vectors, spark.sparkContext.broadcast(Network(x, y, weights=stands_for(y, counts)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

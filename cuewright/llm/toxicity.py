@@ -6,8 +6,9 @@ through a gated recurrent unit in either direction; attention weighs the states;
 that of its most toxic window, over all its windows, then put on a probability scale fitted on labelled rows that training
 did not see.
 
-Training takes whole labelled texts of at most ``MAX_TRAIN_WORDS`` words, at most ``SAMPLE`` of each label (documented
-bounds; hash order; the scale is fitted at the shares that the labels have without the bounds); scoring takes every word of every text. Null and empty texts, or texts without a letter or digit,
+The driver gets at most ``SAMPLE`` labelled texts of each label, in hash order, without those of more than ``MAX_BYTES``
+bytes (documented bounds, some 190 MB at the most); it trains, on one core, on those of at most ``MAX_TRAIN_WORDS`` words, whole, and fits the scale on these and the
+longer ones, at the shares that the labels have without the bounds. Scoring takes every word of every text, in pieces, however long it is. Null and empty texts, or texts without a letter or digit,
 score as one window without words. Null labels and labels without documents are not learnt from; with labels of one
 kind only, the score is that share. Repeated rows get equal scores; an empty table gives an empty result. Labels, lang,
 source and doc_id are no inputs.
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .hashes import range_hashes, stirred
-from .labelled import fold, sample
+from .labelled import fold, sample, stands_for
 from .superkmers import pieces, texts, word_bounds
 
 WINDOW, STRIDE = 48, 36
 WORDS, CHARS, WORD_DIM, CHAR_DIM, UNITS = 1 << 14, 1 << 14, 8, 8, 8
-SAMPLE, MAX_TRAIN_WORDS = {0: 4_000, 1: 2_000}, 800
+SAMPLE, MAX_TRAIN_WORDS, MAX_BYTES = {0: 4_000, 1: 2_000}, 800, 1 << 15
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 HOLD_MOD, HELD, CUT = 4, 2, 0.3
 #: Windows that pass through the network together.
@@ -206,11 +207,13 @@ class Network:
         out[np.isinf(out)] = self.p["bias"][0]
         return out
 
-    def fit(self, rows: list[bytes], y: np.ndarray, seed: int = 4, stands_for: dict[int, float] | None = None) -> None:
-        stands = np.where(y == 1, *((stands_for[1], stands_for[0]) if stands_for else (1.0, 1.0)))
+    def fit(self, rows: list[bytes], y: np.ndarray, seed: int = 4, weights: dict[int, float] | None = None) -> None:
+        stands = np.where(y == 1, *((weights[1], weights[0]) if weights else (1.0, 1.0)))
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(rows))
         check, learn = order[: len(rows) // 5], order[len(rows) // 5 :]
+        short = np.array([len(word_bounds(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]) <= MAX_TRAIN_WORDS for x in rows], bool)
+        check, learn = np.append(check, learn[~short[learn]]), learn[short[learn]]
         if not len(learn) or len(np.unique(y[learn])) < 2:
             self.flat = float(np.average(y, weights=stands)) if len(y) else 0.5
             return
@@ -272,10 +275,10 @@ def _scores(net):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
-    some, stands_for = sample(docs.select("doc_id", "text").where(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")) <= MAX_TRAIN_WORDS), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE)
+    some, counts = sample(docs.select("doc_id", "text"), labels, label, fold(HOLD_MOD, "_id") != HELD, SAMPLE, MAX_BYTES)
     rows = sorted(((r.doc_id, (r.text or "").encode(), r.y) for r in some.collect()), key=lambda r: (r[0], r[1]))
-    net = Network()
-    net.fit([r[1] for r in rows], np.array([r[2] for r in rows], np.float64), stands_for=stands_for)
+    net, y = Network(), np.array([r[2] for r in rows], np.float64)
+    net.fit([r[1] for r in rows], y, weights=stands_for(y, counts))
     return net
 
 

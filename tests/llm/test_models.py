@@ -122,12 +122,34 @@ def test_a_text_scores_alike_alone_and_among_others():
 
 
 def test_sample_says_what_its_rows_stand_for(spark):
-    docs = spark.createDataFrame([(i, "x") for i in range(400)], DOC)
+    docs = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(400)], DOC)
     labels = spark.createDataFrame([(i, int(i >= 300), 0) for i in range(400)], LAB)
-    for most, want in (({0: 30, 1: 50}, {0: 10.0, 1: 2.0}), ({0: 400, 1: 400}, {0: 1.0, 1: 1.0})):
-        some, stands_for = labelled.sample(docs, labels, "quality", F.lit(True), most)
-        assert stands_for == want
-        assert {r.y: r["count"] * stands_for[r.y] for r in some.groupBy("y").count().collect()} == {0: 300, 1: 100}
+    for most, longest in (({0: 30, 1: 50}, None), ({0: 400, 1: 400}, None), ({0: 400, 1: 60}, 3)):
+        some, counts = labelled.sample(docs, labels, "quality", F.lit(True), most, longest)
+        assert counts == {0: 300, 1: 100}
+        y = np.array([r.y for r in some.collect()])
+        weights = labelled.stands_for(y, counts)
+        assert [round((y == k).sum() * weights[k]) for k in (0, 1)] == [300, 100]
+
+
+def test_labels_without_documents_do_not_use_up_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad ### here") for i in range(200)], DOC)
+    labels = spark.range(50_000).selectExpr("id - 25000 as doc_id", "cast(id % 2 as int) as quality", "cast(id % 2 as int) as toxic")
+    monkeypatch.setattr(quality_model, "SAMPLE", {0: 500, 1: 500})
+    some, counts = labelled.sample(docs, labels, "quality", F.lit(True), quality_model.SAMPLE)
+    assert some.count() == 200 and counts == {0: 100, 1: 100}
+    assert len({r.predicted for r in quality_model.score_quality(docs, labels).collect()}) == 2
+
+
+def test_very_long_texts(spark, tables):
+    """A long text is scored whole: what makes it toxic may be anywhere. It is neither learnt from nor in the way."""
+    docs, lab, labels = tables
+    clean = " ".join(f"{a}{b}" for a in ("ka", "lo", "mi") for b in ("na", "to", "ri")) + " "
+    long = spark.createDataFrame([(20_000, clean * 20_000), (20_001, clean * 15_000 + "Zorgic blathead! frunkly " + clean * 5_000), (20_002, "a" * 1_000_000)], DOC)
+    more = spark.createDataFrame([(20_000, 1, 0), (20_002, 0, 0)], LAB)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs.unionByName(long), lab.unionByName(more)).collect()}
+    assert got[20_001].score > got[20_000].score and len(got) >= 703
+    assert {20_000, 20_001, 20_002} <= {r.doc_id for r in quality_model.score_quality(docs.unionByName(long), lab).collect()}
 
 
 def test_scores_keep_the_share_of_labels():
@@ -138,7 +160,7 @@ def test_scores_keep_the_share_of_labels():
     share = np.where(y == 1, 1, 9)
     x = np.zeros((len(y), quality_model.FEATURES))
     x[:, 0] = z
-    good = quality_model.Network(x, y, stands_for={0: 9.0, 1: 1.0})
+    good = quality_model.Network(x, y, weights={0: 9.0, 1: 1.0})
     assert abs(np.average(good.score(x), weights=share) - 0.1) < 0.03
     net = toxicity.Network()
     net.logits = lambda data, offsets: z
@@ -151,3 +173,27 @@ def test_bounds_do_not_move_the_scores(spark, monkeypatch):
     d, lab = spark.createDataFrame(docs, DOC), spark.createDataFrame([(i, int(i % 8 > 0), 0) for i, *_ in labels], LAB)
     monkeypatch.setattr(quality_model, "SAMPLE", {0: 40, 1: 40})  # labels that texts say nothing about: 7 of 8 are good
     assert np.mean([r.score for r in quality_model.score_quality(d, lab).collect()]) > 0.7
+
+
+def auc(rows, y):
+    """Held-out rows' share of pairs in the right order; half for ties."""
+    held = [(r.score, y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
+    score, want = np.array([s for s, _ in held]), np.array([k for _, k in held])
+    _, rank, n = np.unique(score, return_inverse=True, return_counts=True)
+    mid = np.cumsum(n) - (n - 1) / 2
+    ones = want.sum()
+    return (mid[rank][want == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(want) - ones)), len(held)
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op6_toxicity", "toxic", 0.95), ("op9_quality_model", "quality", 0.97)])
+def test_held_out_order(spark, name, label, least):
+    import os
+
+    from cuewright.llm import queries
+
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    y = {r.doc_id: r[label] for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r[label] is not None}
+    got, n = auc(queries.queries()[name](spark, data).collect(), y)
+    assert n > 500 and got >= least
