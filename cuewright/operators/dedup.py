@@ -9,6 +9,8 @@ from ..functions.text import strip
 
 MAX_REPEAT, MAX_SHARE, MAX_NO_SPEECH = 5, 0.15, 0.9
 NEAR_SECONDS = 1.0
+#: Kept rows that are gathered before they are put away.
+PART = 256
 
 
 def flag_frequent(segments: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -46,7 +48,8 @@ def near_duplicate_starts(segments: DataFrame, seconds: float | Column = NEAR_SE
     """Of segments that start within ``seconds`` of the last kept one, the longer text stays and becomes that one.
 
     A start that is ``seconds`` or more after the one before it begins an island that no earlier row can reach, so the
-    fold runs over islands, not over whole media.
+    fold runs over islands, not over whole media. What is kept is gathered in parts, as each step copies the part it adds
+    to: an island of n rows costs in proportion to n, until n / ``PART`` is some thousands too.
     """
     thr = seconds if isinstance(seconds, Column) else F.lit(float(seconds))
     w = Window.partitionBy("media_id").orderBy("start", "idx")
@@ -58,13 +61,14 @@ def near_duplicate_starts(segments: DataFrame, seconds: float | Column = NEAR_SE
     per = rows.groupBy("media_id", "_island").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        held = acc["held"]
+        held, part = acc["held"], F.concat(acc["part"], F.array(acc["held"]))
         near = F.abs(x["start"] - held["start"]) < thr
-        longer = x["n"] > held["n"]
-        return F.when(held.isNull(), F.struct(x.alias("held"), acc["done"].alias("done"))).when(
-            near, F.struct(F.when(longer, x).otherwise(held).alias("held"), acc["done"].alias("done"))
-        ).otherwise(F.struct(x.alias("held"), F.concat(acc["done"], F.array(held)).alias("done")))
-
-    zero = F.struct(F.lit(None).cast(kind).alias("held"), F.array().cast(f"array<{kind}>").alias("done"))
-    kept = F.aggregate("_rows", zero, step, lambda a: F.concat(a["done"], F.array(a["held"])))
+        keep = F.when(held.isNull() | ~near | (x["n"] > held["n"]), x).otherwise(held)
+        ends = held.isNotNull() & ~near  # what was held is done
+        full = ends & (F.size(part) >= PART)
+        none = F.array().cast(f"array<{kind}>")
+        return F.struct(keep.alias("held"), F.when(full, none).when(ends, part).otherwise(acc["part"]).alias("part"), F.when(full, F.concat(acc["done"], F.array(part))).otherwise(acc["done"]).alias("done"))
+
+    zero = F.struct(F.lit(None).cast(kind).alias("held"), F.array().cast(f"array<{kind}>").alias("part"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    kept = F.aggregate("_rows", zero, step, lambda a: F.flatten(F.concat(a["done"], F.array(F.concat(a["part"], F.array(a["held"]))))))
     return per.select(F.explode(kept).alias("x")).select("x.row.*")

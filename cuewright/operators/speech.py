@@ -19,9 +19,11 @@ def words_of(response: Column) -> Column:
 
 
 def transcript_of(response: Column) -> Column:
-    """The first alternatives' transcripts, one blank after each, stripped: the line to use where there are no words."""
-    per = F.filter(F.transform(response["results"], lambda r: F.get(r["alternatives"], F.lit(0))["transcript"]), lambda t: t.isNotNull())
-    return strip(F.array_join(F.transform(per, lambda t: F.concat(t, F.lit(" "))), ""))
+    """The first alternatives' transcripts, one blank after each (also after a missing one), stripped: the line to use
+    where there are no words. Results without alternatives are passed over."""
+    heard = F.filter(response["results"], lambda r: F.coalesce(F.size(r["alternatives"]), F.lit(0)) > 0)
+    per = F.transform(heard, lambda r: F.concat(F.coalesce(F.get(r["alternatives"], F.lit(0))["transcript"], F.lit("")), F.lit(" ")))
+    return strip(F.array_join(per, ""))
 
 
 def timed_words(responses: DataFrame) -> DataFrame:

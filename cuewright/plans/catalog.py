@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import providers
 from ..functions import text as fn
 from ..model import REQUEST, SPEECH_RESPONSE
 from ..operators import batching, choose, dedup, intervals, merge, speech
-from ..providers import FakeTranslator, Transcriber
+from ..providers import FakeTranslator
 from ..sources import media as media_source
 from ..sources import subtitles
 from ..workers import ship
@@ -52,24 +54,39 @@ def q03_srt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.render_srt(adapters.conversation_segments(spark, sf_dir))
 
 
+#: Two blanks behind the arrow; words behind the end; too few lines; no time; more empty lines than one between cues.
+_SRT_ODD = "\n\n7\n00:00:01,000 -->  00:00:02,000\ntwo blanks\n\n\n\n8\n00:00:03,000 --> 00:00:04,000 X1:10 X2:20\nplaced\n\n9\n00:00:05,000 --> 00:00:06,000\n\n10\nno time\nx\n"
+#: A note behind one empty line more is a cue; a tab before the settings hides the end.
+_VTT_ODD = "\n\n\nNOTE as a cue\n00:01:00.000 --> 00:01:01.000\nkept\n\nNOTE\n00:02:00.000 --> 00:02:01.000\ngone\n\n 00:03:00.000 --> 00:03:01.000\tline:0\ntab"
+
+
+def _srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered, with odd blocks behind; every other file with the line ends of another system."""
+    content = F.concat("content", F.lit(_SRT_ODD))
+    return q03_srt_render(spark, sf_dir).select("media_id", F.when(F.col("media_id") % 2 == 0, content).otherwise(F.replace(content, F.lit("\n"), F.lit("\r\n"))).alias("content"))
+
+
 @query
 def q04_srt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subtitles.parse_srt(q03_srt_render(spark, sf_dir))
+    return subtitles.parse_srt(_srt_files(spark, sf_dir))
 
 
 def _vtt_time(c: str) -> Column:
     return F.replace(fn.format_timestamp(c), F.lit(","), F.lit("."))
 
 
-@query
-def q05_vtt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered with a note, settings, and cues without a time or with a bad one."""
+def _vtt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered with a note, settings, cues without a time or with a bad one, and odd blocks behind."""
     seg = adapters.conversation_segments(spark, sf_dir)
     kind = F.col("idx") % 7
     line = F.when(kind == 3, F.concat(_vtt_time("start"), F.lit(" --> x1:00"))).when(kind == 5, F.lit("no time here")).otherwise(F.concat(_vtt_time("start"), F.lit(" --> "), _vtt_time("end"), F.lit(" align:start position:0%")))
     cues = seg.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.concat(line, F.lit("\n"), "text").alias("block")))).alias("cues"))
-    files = cues.select("media_id", F.concat(F.lit("WEBVTT\n\nNOTE made here\n\n"), F.array_join(F.transform("cues", lambda x: x["block"]), "\n\n")).alias("content"))
-    return subtitles.parse_vtt(files)
+    return cues.select("media_id", F.concat(F.lit("WEBVTT\n\nNOTE made here\n\n"), F.array_join(F.transform("cues", lambda x: x["block"]), "\n\n"), F.lit(_VTT_ODD)).alias("content"))
+
+
+@query
+def q05_vtt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.parse_vtt(_vtt_files(spark, sf_dir))
 
 
 @query
@@ -152,10 +169,8 @@ def q17_request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q18_realign_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers lack every fifth id and give another twice; a second question helps with half of the missing."""
-    from ..providers import ask_batches
-
     parts = _batched(spark, sf_dir)
-    got = batching.answers(ask_batches(batching.requests(parts), FakeTranslator, attempts=1))
+    got = batching.answers(providers.ask_batches(batching.requests(parts), FakeTranslator, attempts=1))
     second = F.when(F.col("local_id") % 10 == 3, F.when(fn.strip("text") != "", F.concat(F.lit("("), "text", F.lit(")"))))
     return batching.realign(parts, got, second).select("media_id", "idx", "start", "end", "from_batch", "text")
 
@@ -239,13 +254,26 @@ def q27_asr_json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _TurnsHeard:
-    """Hears the turns whose starts lie in a window; made from rows of one table, for the end-to-end query."""
+    """Hears the given turns (start and duration in ms, text) that begin in a window or part."""
 
-    def __init__(self, turns: dict[int, list[tuple[int, int, str]]]):
+    def __init__(self, turns: list):
         self.turns = turns
 
     def window(self, media_id: int, start_ms: int, end_ms: int) -> list[dict]:
-        return [{"start": (s - start_ms) / 1000.0, "end": (s - start_ms + d) / 1000.0, "text": t} for s, d, t in self.turns.get(media_id, ()) if start_ms <= s < end_ms]
+        return [{"start": (x["s"] - start_ms) / 1000.0, "end": (x["s"] - start_ms + x["d"]) / 1000.0, "text": x["text"]} for x in self.turns if start_ms <= x["s"] < end_ms]
+
+    def part(self, media_id: int, part: int, start: float, seconds: float) -> tuple[list[dict], float]:
+        return [{"start": x["s"] / 1000.0 - start, "end": (x["s"] + x["d"]) / 1000.0 - start, "text": x["text"]} for x in self.turns if start * 1000 <= x["s"] < (start + seconds) * 1000], seconds
+
+
+def with_turns(spans: DataFrame, turns: DataFrame, grid: int = 10_000) -> DataFrame:
+    """``spans`` (media_id, lo, hi in ms, and more) with ``turns``: those that begin in it. Both sides meet by cells of the time line."""
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    cell = lambda c: F.floor(c / grid).cast("bigint")
+    at = turns.select("media_id", ms("start").alias("s"), (ms("end") - ms("start")).alias("d"), "text").withColumn("cell", cell(F.col("s")))
+    cells = spans.select("media_id", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    got = cells.join(at, ["media_id", "cell"]).where("s >= lo and s < hi").groupBy("media_id", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("s", "d", "text"))).alias("turns"))
+    return spans.join(got, ["media_id", "lo", "hi"], "left").withColumn("turns", F.coalesce("turns", F.array().cast(got.schema["turns"].dataType)))
 
 
 @query
@@ -254,30 +282,17 @@ def q28_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = adapters.conversation_segments(spark, sf_dir)
     recordings = seg.groupBy("media_id").agg((F.max(F.round(F.col("end") * 1000).cast("bigint")) / F.lit(1000.0)).alias("duration")).where("duration > 0")
     windows = pipelines.recording_windows(recordings, None, 20_000)
-    heard = heard_turns(windows, seg)
-    text = pipelines.clean_transcript(heard)
-    from ..providers import translate
-
-    return merge.positional_merge(text, translate(text, FakeTranslator, pause=0.0))
-
-
-def heard_turns(windows: DataFrame, turns: DataFrame) -> DataFrame:
-    """What ``transcribe`` returns for a service that hears turns: the turns travel with the windows of their recording."""
-    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
-    per = turns.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct(ms("start").alias("s"), (ms("end") - ms("start")).alias("d"), "text"))).alias("turns"))
+    spans = with_turns(windows.withColumns({"lo": F.col("start_ms").cast("double"), "hi": F.col("end_ms").cast("double")}), seg)
 
     def over(parts):
-        import pandas as pd
-
         for p in parts:
-            rows = []
-            for r in p.itertuples(index=False):
-                service: Transcriber = _TurnsHeard({r.media_id: [(x["s"], x["d"], x["text"]) for x in r.turns]})
-                rows += [(r.media_id, r.seg_index, k, r.start_ms / 1000.0 + x["start"], r.start_ms / 1000.0 + x["end"], x["text"]) for k, x in enumerate(service.window(r.media_id, r.start_ms, r.end_ms))]
-            yield pd.DataFrame(rows, columns=["media_id", "seg_index", "pos", "start", "end", "text"])
+            heard = [_TurnsHeard(r.turns).window(r.media_id, r.start_ms, r.end_ms) for r in p.itertuples(index=False)]
+            yield p[["media_id", "seg_index", "start_ms", "end_ms"]].assign(segments=heard, error=None)
 
-    ship(windows.sparkSession)
-    return windows.join(per, "media_id").mapInPandas(over, "media_id long, seg_index int, pos int, start double, end double, text string")
+    ship(spark)
+    heard = spans.select("media_id", "seg_index", "start_ms", "end_ms", "turns").mapInPandas(over, providers.HEARD)
+    text = pipelines.clean_transcript(providers.on_timeline(heard))
+    return merge.positional_merge(text, providers.translate(text, FakeTranslator, pause=0.0))
 
 
 @query
@@ -287,3 +302,84 @@ def q29_silence_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("event_id") % 100_000).cast("string")
     line = F.when(F.col("event_type") == "error", F.concat(F.lit("[silencedetect @ 0x1] silence_start: "), at, F.lit(".5"))).when(F.col("event_type") == "view", F.concat(F.lit("[silencedetect @ 0x1] silence_end: "), at, F.lit(".25 | silence_duration: 1"))).otherwise(F.lit("  Duration: 01:02:03.50, start: 0.0"))
     return media_source.silence_log(e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("pos"), line.alias("line")))[0]
+
+
+@query
+def q30_standard_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No windows: recordings whole or, by size, in equal parts; each part's times follow the durations of those before."""
+    seg = adapters.conversation_segments(spark, sf_dir)
+    length = F.max(F.round(F.col("end") * 1000).cast("bigint"))
+    media = seg.groupBy("media_id").agg((length / F.lit(1000.0)).alias("duration"), (length * 4000).alias("size")).where("duration > 0")
+    _, parts = pipelines.planned(media, None, None, "whisper")
+    spans = with_turns(parts.withColumns({"lo": F.col("part_start") * 1000, "hi": (F.col("part_start") + F.col("part_seconds")) * 1000}), seg)
+
+    def over(rows):
+        for p in rows:
+            heard = [_TurnsHeard(r.turns).part(r.media_id, r.part, r.part_start, r.part_seconds) for r in p.itertuples(index=False)]
+            yield p[["media_id", "part"]].assign(seconds_ms=[int(h[1] * 1000) for h in heard], segments=[h[0] for h in heard], error=None)
+
+    ship(spark)
+    heard = spans.select("media_id", "part", "part_start", "part_seconds", "turns").mapInPandas(over, providers.PART)
+    return pipelines.clean_transcript(providers.parts_on_timeline(heard), overlaps=False)
+
+
+@query
+def q31_no_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole filter with a likelihood of silence, which some rows lack."""
+    k = F.col("idx") % 13
+    seg = adapters.line_segments(spark, sf_dir).withColumn("no_speech", F.when(k < 12, k / F.lit(10.0)))
+    return dedup.filter_hallucinations(seg, no_speech="no_speech").select("media_id", "idx", "text")
+
+
+class _Flaky(FakeTranslator):
+    """First gives every other text, then fails, then leaves out every fifth."""
+
+    def __init__(self):
+        self.asked: dict[str, int] = {}
+
+    def batch(self, request: str) -> str:
+        n = self.asked[request] = self.asked.get(request, 0) + 1
+        if n == 2:
+            raise RuntimeError("down")
+        items = json.loads(request)["segments_to_translate"]
+        return json.dumps({"segments": [s for s in items if (s["id"] % 2 == 0 if n == 1 else s["id"] % 5 != 3)]})
+
+
+@query
+def q32_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch is asked for again until as many ids come back as went out; the last answer that could be read counts."""
+    parts = _batched(spark, sf_dir)
+    keys = parts.groupBy("media_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct(F.col("local_id").alias("id"), "start", "end", "text"))).alias("segments_to_translate"))
+    # The key is part of the request, so that the fake can tell batches with equal texts apart.
+    asked = keys.select("media_id", "batch_no", F.to_json(F.struct("media_id", "batch_no", "segments_to_translate")).alias("request"))
+    got = providers.ask_batches(asked, _Flaky, pause=0.0)
+    answered = batching.answers(got)
+    n = answered.groupBy("media_id", "batch_no").agg(F.count(F.lit(1)).alias("answered"))
+    done = batching.complete_batches(parts, answered)
+    return got.select("media_id", "batch_no", "attempts", "error").join(n, ["media_id", "batch_no"]).join(done, ["media_id", "batch_no"])
+
+
+@query
+def q33_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by extension: WebVTT, SRT, and others taken for SRT."""
+    third = F.col("media_id") % 3
+    named = lambda df, ext: df.withColumn("path", F.concat(F.lit("talks/"), F.col("media_id").cast("string"), ext))
+    vtt = named(_vtt_files(spark, sf_dir).where(third == 0), F.lit(".vtt"))
+    srt = named(_srt_files(spark, sf_dir).where(third != 0), F.when(third == 1, F.lit(".srt")).otherwise(F.lit(".VTT")))
+    return subtitles.parse_by_name(vtt.unionByName(srt), other="srt")
+
+
+@query
+def q34_spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word service's answers on the time line: packed words, or the whole transcript where there are none."""
+    seg = adapters.conversation_segments(spark, sf_dir)
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    word = lambda w, s, e: F.struct(w.alias("word"), F.lit(s).alias("startTime"), F.lit(e).cast("string").alias("endTime"))
+    words = F.array(word(F.concat(F.lit("w"), F.col("idx").cast("string")), "0.500s", "1s"), word(F.lit("b."), "1s", None))
+    alternative = lambda text, w=None: F.struct(text.cast("string").alias("transcript"), (F.lit(None) if w is None else w).cast("array<struct<word:string,startTime:string,endTime:string>>").alias("words"))
+    result = lambda *a: F.struct((F.array(*a) if a else F.array().cast("array<struct<transcript:string,words:array<struct<word:string,startTime:string,endTime:string>>>>")).alias("alternatives"))
+    bare = F.array(result(alternative(F.col("text"))), result(alternative(F.lit(None))), result(), result(alternative(F.lit("end")), alternative(F.lit("second"))))
+    spoken = F.array(result(alternative(F.lit("not used"), words)))
+    json_ = F.to_json(F.struct(F.when(F.col("idx") % 2 == 1, bare).otherwise(spoken).alias("results")))
+    answers = seg.select("media_id", F.col("idx").cast("int").alias("seg_index"), ms("start").alias("start_ms"), ms("end").alias("end_ms"), F.from_json(json_, SPEECH_RESPONSE).alias("response"))
+    return pipelines.spoken_lines(answers)

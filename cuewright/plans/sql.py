@@ -66,14 +66,16 @@ _CUE = f"chr(10) || {stamp('s')} || ' --> ' || {stamp('e')} || chr(10) || {strip
 SRT = f"""
 pos AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS i FROM seg),
 file AS (SELECT media_id, string_agg(i::VARCHAR || {_CUE}, '' ORDER BY i) AS content FROM pos GROUP BY media_id)"""
+_SRT_ODD = "chr(10) || chr(10) || array_to_string(['7', '00:00:01,000 -->  00:00:02,000', 'two blanks', '', '', '', '8', '00:00:03,000 --> 00:00:04,000 X1:10 X2:20', 'placed', '', '9', '00:00:05,000 --> 00:00:06,000', '', '10', 'no time', 'x', ''], chr(10))"
+_VTT_ODD = "array_to_string(['', '', '', 'NOTE as a cue', '00:01:00.000 --> 00:01:01.000', 'kept', '', 'NOTE', '00:02:00.000 --> 00:02:01.000', 'gone', '', ' 00:03:00.000 --> 00:03:01.000' || chr(9) || 'line:0', 'tab'], chr(10))"
 _VTT_TIME = lambda x: f"replace({stamp(x)}, ',', '.')"
 VTT = f"""
 cue AS (SELECT media_id, idx, CASE WHEN idx % 7 = 3 THEN {_VTT_TIME('s')} || ' --> x1:00' WHEN idx % 7 = 5 THEN 'no time here'
     ELSE {_VTT_TIME('s')} || ' --> ' || {_VTT_TIME('e')} || ' align:start position:0%' END || chr(10) || text AS block FROM seg),
-file AS (SELECT media_id, 'WEBVTT' || chr(10) || chr(10) || 'NOTE made here' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY idx) AS content FROM cue GROUP BY media_id)"""
+file AS (SELECT media_id, 'WEBVTT' || chr(10) || chr(10) || 'NOTE made here' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY idx) || {_VTT_ODD} AS content FROM cue GROUP BY media_id)"""
 _BLOCKS = f"""
 b AS (SELECT media_id, generate_subscripts(l, 1) AS pos, unnest(l) AS block FROM (SELECT media_id, string_split_regex({strip('content')}, '%s') AS l FROM file)),
-l AS (SELECT media_id, pos, string_split({strip('block')}, chr(10)) AS l FROM b)"""
+l AS (SELECT media_id, pos, string_split(%s, chr(10)) AS l FROM b)"""
 MERGED = f"""
 u AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY idx) - 1 AS i FROM seg WHERE role = 'user'),
 a AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY idx) - 1 AS i FROM seg WHERE role = 'assistant'),
@@ -99,11 +101,11 @@ ORACLE = {
 SELECT event_id, {seconds("replace(stamp, ',', '.')")}::DOUBLE AS srt_seconds, {seconds("replace(stamp[4:], ',', '.')")}::DOUBLE AS short_seconds,
   (CASE WHEN event_id % 2 = 0 THEN 0 END)::DOUBLE AS wrong_seconds FROM t""",
     "q03_srt_render": f"WITH {CONV}, {SRT} SELECT media_id, content FROM file",
-    "q04_srt_parse": f"""WITH {CONV}, {SRT}, {_BLOCKS % "\\n\\n+"},
+    "q04_srt_parse": f"""WITH {CONV}, {SRT.replace("'' ORDER BY i) AS content", f"'' ORDER BY i) || {_SRT_ODD} AS content")}, {_BLOCKS % ("\\n\\n+", strip("block"))},
 t AS (SELECT media_id, pos, string_split(l[2], ' --> ') AS t, array_to_string(l[3:], chr(10)) AS text FROM l WHERE len(l) >= 3 AND contains(l[2], '-->'))
 SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1)::BIGINT AS idx, {seconds("replace(t[1], ',', '.')")}::DOUBLE AS "start", {seconds("replace(t[2], ',', '.')")}::DOUBLE AS "end", text FROM t""",
-    "q05_vtt_parse": f"""WITH {CONV}, {VTT}, {_BLOCKS % "\\n\\n"},
-k AS (SELECT media_id, pos, l, list_position(list_transform(l, lambda x: contains(x, '-->')), true) AS tl FROM l WHERE l[1] <> 'WEBVTT' AND NOT starts_with(l[1], 'NOTE')),
+    "q05_vtt_parse": f"""WITH {CONV}, {VTT}, {_BLOCKS % ("\\n\\n", "block")},
+k AS (SELECT media_id, pos, l, list_position(list_transform(l, lambda x: contains(x, '-->')), true) AS tl FROM l WHERE {strip("l[1]")} <> 'WEBVTT' AND NOT starts_with(l[1], 'NOTE')),
 t AS (SELECT media_id, pos, string_split(l[tl], ' --> ') AS t, {strip("array_to_string(l[tl + 1:], chr(10))")} AS text FROM k WHERE tl > 0),
 r AS (SELECT media_id, pos, {seconds("t[1]")}::DOUBLE AS s, {seconds("string_split(t[2], ' ')[1]")}::DOUBLE AS e, text FROM t WHERE len(t) = 2)
 SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1)::BIGINT AS idx, s AS "start", e AS "end", text FROM r WHERE s IS NOT NULL AND e IS NOT NULL""",
@@ -188,3 +190,29 @@ r2 AS (SELECT *, lag(key) OVER (PARTITION BY media_id ORDER BY idx) AS before FR
 f2 AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY idx) - 1 AS idx, s, e, text FROM r2 WHERE key IS DISTINCT FROM before),
 tr AS (SELECT *, CASE WHEN idx % 15 % 5 <> 3 THEN '[x] ' || text WHEN length(text) % 2 = 1 THEN {strip("'(' || text || ')'")} ELSE text END AS t FROM f2)
 SELECT media_id, idx, s AS "start", e AS "end", concat_ws(chr(10), nullif({strip('t')}, ''), nullif({strip('text')}, '')) AS text FROM tr"""
+
+ORACLE["q30_standard_path"] = f"""WITH {CONV},
+media AS (SELECT media_id, max(start_ms + dur) / 1000.0::DOUBLE AS duration, max(start_ms + dur) * 4000 AS size FROM conv GROUP BY 1 HAVING max(start_ms + dur) > 0),
+n AS (SELECT *, CASE WHEN size <= 24 * 1048576.0::DOUBLE THEN 1 ELSE ceil(size / 1048576.0::DOUBLE / 20) END::BIGINT AS n_parts FROM media),
+p AS (SELECT media_id, part, part * (duration / n_parts) AS a, duration / n_parts AS sec FROM (SELECT *, unnest(generate_series(0, n_parts - 1)) AS part FROM n)),
+o AS (SELECT *, coalesce(sum(trunc(sec * 1000)::BIGINT) OVER (PARTITION BY media_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p),
+hit AS (SELECT o.media_id, part, start_ms, dur, text, off / 1000.0::DOUBLE + (start_ms / 1000.0::DOUBLE - a) AS s, off / 1000.0::DOUBLE + ((start_ms + dur) / 1000.0::DOUBLE - a) AS e
+  FROM o JOIN conv c ON c.media_id = o.media_id AND c.start_ms >= a * 1000 AND c.start_ms < (a + sec) * 1000),
+seg2 AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY part, start_ms, dur, text) AS idx, {strip("coalesce(text, '')")} AS key FROM hit),
+c2 AS (SELECT *, count(*) OVER (PARTITION BY media_id, key) AS n, count(*) OVER (PARTITION BY media_id) AS tot FROM seg2),
+r2 AS (SELECT *, lag(key) OVER (PARTITION BY media_id ORDER BY idx) AS before FROM c2 WHERE key <> '' AND NOT (n > 5 AND n > 0.15::DOUBLE * tot))
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY idx) - 1)::BIGINT AS idx, s AS "start", e AS "end", text FROM r2 WHERE key IS DISTINCT FROM before"""
+
+ORACLE["q31_no_speech"] = f"""WITH {LINE}, {FREQUENT},
+r AS (SELECT *, lag(key) OVER (PARTITION BY media_id ORDER BY idx) AS before FROM f WHERE key <> '' AND NOT frequent AND coalesce(CASE WHEN idx % 13 < 12 THEN (idx % 13) / 10.0::DOUBLE END, 0) <= 0.9::DOUBLE)
+SELECT media_id, idx, text FROM r WHERE key IS DISTINCT FROM before"""
+
+ORACLE["q32_retries"] = f"""WITH {LINE}, {BATCHED},
+k AS (SELECT media_id, batch_no, count(*) AS n, count(*) FILTER (WHERE local_id % 5 <> 3) AS answered FROM bt WHERE text IS NOT NULL GROUP BY ALL)
+SELECT media_id, batch_no, CASE WHEN n = 1 THEN 1 ELSE 3 END::INTEGER AS attempts, NULL::VARCHAR AS error, answered, answered = n AS complete FROM k"""
+
+ORACLE["q33_dispatch"] = f"""SELECT * FROM ({ORACLE["q05_vtt_parse"]}) WHERE media_id % 3 = 0 UNION ALL SELECT * FROM ({ORACLE["q04_srt_parse"]}) WHERE media_id % 3 <> 0"""
+
+ORACLE["q34_spoken_lines"] = f"""WITH {CONV}
+SELECT media_id, idx::INTEGER AS seg_index, 0 AS pos, CASE WHEN idx % 2 = 1 THEN s ELSE 0.5::DOUBLE + s END AS "start", CASE WHEN idx % 2 = 1 THEN e ELSE 0.5::DOUBLE + s + 2.0::DOUBLE END AS "end",
+  CASE WHEN idx % 2 = 1 THEN {strip("coalesce(text, '') || '  end '")} ELSE 'w' || idx || ' b.' END AS text FROM seg"""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import log_duration
+from ..workers import ship
 
 #: Extensions of cached audio, best first.
 AUDIO_EXTENSIONS = (".mp3", ".m4a", ".wav", ".opus", ".webm")
@@ -29,13 +32,48 @@ def first_setting(*values: str | None, default: str | None = None) -> str | None
 
 
 class MediaTools(Protocol):
-    """Programs and services outside Spark. None is shipped; tests use fakes."""
+    """Programs that read media files, on the path of every executor. ``services.FfmpegTools`` is one; tests use fakes."""
 
-    def info(self, url: str) -> dict | None: ...
-    def subtitle(self, url: str, language: str, out: str) -> str | None: ...
-    def audio(self, url: str, out: str) -> str | None: ...
     def duration(self, path: str) -> float | None: ...
     def cut(self, path: str, start_ms: int, end_ms: int, out: str) -> bool: ...
+    def silence_lines(self, path: str) -> list[str]: ...
+
+
+def with_duration(files: DataFrame, make: Callable[[], MediaTools]) -> DataFrame:
+    """``files`` (media_id, path) with ``duration`` in seconds, null where it can't be told. Files must be where executors see them."""
+
+    def over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tools = make()
+        for p in parts:
+            yield p.assign(duration=[tools.duration(x) for x in p["path"]])
+
+    ship(files.sparkSession)
+    return files.select("media_id", "path").mapInPandas(over, "media_id long, path string, duration double")
+
+
+def log_lines(files: DataFrame, make: Callable[[], MediaTools]) -> DataFrame:
+    """media_id, path -> media_id, pos, line: the silence detector's output, for ``silence_log``."""
+
+    def over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tools = make()
+        for p in parts:
+            rows = [(m, i, line) for m, path in p[["media_id", "path"]].itertuples(index=False) for i, line in enumerate(tools.silence_lines(path))]
+            yield pd.DataFrame(rows, columns=["media_id", "pos", "line"])
+
+    ship(files.sparkSession)
+    return files.select("media_id", "path").mapInPandas(over, "media_id long, pos int, line string")
+
+
+def cut_files(cuts: DataFrame, make: Callable[[], MediaTools]) -> DataFrame:
+    """media_id, path, start_ms, end_ms, out -> those and ``done``: whether the piece was written to ``out``."""
+
+    def over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tools = make()
+        for p in parts:
+            yield p.assign(done=[tools.cut(*r) for r in p[["path", "start_ms", "end_ms", "out"]].itertuples(index=False)])
+
+    ship(cuts.sparkSession)
+    return cuts.select("media_id", "path", "start_ms", "end_ms", "out").mapInPandas(over, "media_id long, path string, start_ms long, end_ms long, out string, done boolean")
 
 
 def list_audio(spark: SparkSession, path: str) -> DataFrame:

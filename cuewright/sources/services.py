@@ -12,13 +12,13 @@ import os
 import re
 import subprocess
 import tempfile
-import urllib.error
 import urllib.request
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..functions.text import SPEECH_CODES
+from ..progress import percent_hook
 
 CHAT_URL = "https://api.openai.com/v1/chat/completions"
 WHISPER_URL = "https://api.openai.com/v1/audio/transcriptions"
@@ -104,11 +104,26 @@ class WhisperTranscriber:
 
     def window(self, media_id: int, start_ms: int, end_ms: int) -> list[dict]:
         with tempfile.TemporaryDirectory() as d:
-            part = os.path.join(d, "part.m4a")
-            if not self.tools.cut(self.path_of(media_id), start_ms, end_ms, part):
-                return []
-            with open(part, "rb") as f:
-                audio = f.read()
+            piece = os.path.join(d, "part.m4a")
+            if not self.tools.cut(self.path_of(media_id), start_ms, end_ms, piece):
+                raise RuntimeError("the window could not be cut")
+            return self._ask(piece)
+
+    def part(self, media_id: int, part: int, start: float, seconds: float | None) -> tuple[list[dict], float | None]:
+        """``providers.PartTranscriber``: the file itself if it is one part that starts at 0 and lasts as long as the file."""
+        path = self.path_of(media_id)
+        whole = self.tools.duration(path)
+        if seconds is None or (part == 0 and whole is not None and seconds >= whole):
+            return self._ask(path), whole
+        with tempfile.TemporaryDirectory() as d:
+            piece = os.path.join(d, "part.m4a")
+            if not self.tools.cut(path, int(start * 1000), int((start + seconds) * 1000), piece):
+                raise RuntimeError("the part could not be cut")
+            return self._ask(piece), self.tools.duration(piece)
+
+    def _ask(self, path: str) -> list[dict]:
+        with open(path, "rb") as f:
+            audio = f.read()
         fields = {"model": "whisper-1", "response_format": "verbose_json", "timestamp_granularities[]": "segment", "language": self.language, "prompt": self.prompt}
         edge = uuid.uuid4().hex
         body = b"".join(f'--{edge}\r\nContent-Disposition: form-data; name="{k}"\r\n\r\n{v}\r\n'.encode() for k, v in fields.items() if v)
@@ -120,7 +135,7 @@ class WhisperTranscriber:
 
 @dataclass
 class GoogleSpeech:
-    """The service's JSON for a window of up to 59 s, to be read with ``model.SPEECH_RESPONSE``; ``{}`` where it answers with an error."""
+    """The service's JSON for a window of up to 59 s, to be read with ``model.SPEECH_RESPONSE``; raises where it answers with an error."""
 
     key: str = field(repr=False)
     path_of: Callable[[int], str]
@@ -132,14 +147,11 @@ class GoogleSpeech:
         with tempfile.TemporaryDirectory() as d:
             part = os.path.join(d, "part.flac")
             if not self.tools.cut(self.path_of(media_id), start_ms, end_ms, part):
-                return "{}"
+                raise RuntimeError("the window could not be cut")
             with open(part, "rb") as f:
                 content = base64.b64encode(f.read()).decode()
         config = {"encoding": "FLAC", "sampleRateHertz": 16000, "languageCode": SPEECH_CODES.get(self.language or "", "en-US"), "enableAutomaticPunctuation": True, "enableWordTimeOffsets": True, "model": "default"}
-        try:
-            return json.dumps(post_json(f"{self.url}?key={self.key}", {"config": config, "audio": {"content": content}}, {}, None))
-        except urllib.error.HTTPError:
-            return "{}"
+        return json.dumps(post_json(f"{self.url}?key={self.key}", {"config": config, "audio": {"content": content}}, {}, None))
 
 
 class Downloader:
@@ -153,19 +165,32 @@ class Downloader:
         return yt_dlp.YoutubeDL({"quiet": True, "no_warnings": True, **options})
 
     def info(self, url: str) -> dict | None:
-        with self._ydl() as y:
-            return y.extract_info(url, download=False)
+        """Title and subtitles of a video, or None where there is no telling."""
+        with self._ydl(skip_download=True) as y:
+            try:
+                return y.extract_info(url, download=False)
+            except Exception:  # the module's errors are many; without an answer there is no video  # noqa: BLE001
+                return None
+
+    def _get(self, url: str, percent: Callable[[str], None] | None, **options) -> bool:
+        if percent:
+            options["progress_hooks"] = [percent_hook(percent)]
+        with self._ydl(**options) as y:
+            try:
+                y.download([url])
+            except Exception:  # noqa: BLE001
+                return False
+        return True
 
-    def subtitle(self, url: str, language: str, out: str) -> str | None:
-        with self._ydl(writesubtitles=True, skip_download=True, subtitleslangs=[language], subtitlesformat="vtt", outtmpl=out) as y:
-            y.download([url])
+    def subtitle(self, url: str, language: str, out: str, percent: Callable[[str], None] | None = None) -> str | None:
         path = f"{out}.{language}.vtt"
-        return path if os.path.exists(path) else None
+        got = self._get(url, percent, writesubtitles=True, skip_download=True, subtitleslangs=[language], outtmpl=out)
+        return path if got and os.path.exists(path) else None
 
-    def audio(self, url: str, out: str) -> str | None:
-        with self._ydl(format="bestaudio/best", outtmpl=out, postprocessors=[{"key": "FFmpegExtractAudio", "preferredcodec": "mp3", "preferredquality": "192"}]) as y:
-            y.download([url])
-        return f"{out}.mp3" if os.path.exists(f"{out}.mp3") else None
+    def audio(self, url: str, out: str, percent: Callable[[str], None] | None = None) -> str | None:
+        mp3 = {"key": "FFmpegExtractAudio", "preferredcodec": "mp3", "preferredquality": "192"}
+        got = self._get(url, percent, format="bestaudio/best", outtmpl=out, postprocessors=[mp3])
+        return f"{out}.mp3" if got and os.path.exists(f"{out}.mp3") else None
 
 
 def safe_key(key: str | None) -> str:

@@ -24,42 +24,48 @@ def _numbered(cues: DataFrame) -> DataFrame:
     return cues.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def _range(line: Column, seconds) -> tuple[Column, Column, Column]:
-    """(start, end, well-formed) of a time line; what follows the end after a blank is settings."""
+def _range(line: Column, seconds, settings: bool) -> tuple[Column, Column, Column]:
+    """(start, end, well-formed) of a time line; with ``settings`` what follows the end after a blank is not part of it."""
     sides = F.split(line, f" {ARROW} ", -1)
-    start, end = seconds(F.get(sides, F.lit(0))), seconds(F.get(F.split(F.get(sides, F.lit(1)), " "), F.lit(0)))
+    end = F.get(sides, F.lit(1))
+    start, end = seconds(F.get(sides, F.lit(0))), seconds(F.get(F.split(end, " "), F.lit(0)) if settings else end)
     return start, end, (F.size(sides) == 2) & start.isNotNull() & end.isNotNull()
 
 
 def parse_vtt(files: DataFrame) -> DataFrame:
-    """``content`` -> media_id, idx, start, end, text. Malformed cues are left out; cues without text stay."""
+    """``content`` -> media_id, idx, start, end, text. Malformed cues are left out; cues without text stay.
+
+    A block's first line is looked at as it is, so one that begins with an empty line or a blank is no note.
+    """
     blocks = files.select("media_id", F.posexplode(F.split(strip(one_line_ends("content")), "\n\n")).alias("_pos", "_block"))
-    lines = blocks.select("media_id", "_pos", F.split(strip("_block"), "\n").alias("_lines"))
+    lines = blocks.select("media_id", "_pos", F.split("_block", "\n").alias("_lines"))
     first = F.get("_lines", F.lit(0))
     lines = lines.where(~((strip(first) == "WEBVTT") | F.startswith(first, F.lit("NOTE"))))
     at = F.array_position(F.transform("_lines", lambda x: F.contains(x, F.lit(ARROW))), True)
     timed = lines.withColumn("_at", at.cast("int")).where("_at > 0")
-    start, end, good = _range(F.get("_lines", F.col("_at") - 1), clock_seconds)
+    start, end, good = _range(F.get("_lines", F.col("_at") - 1), clock_seconds, True)
     text = strip(F.array_join(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), "\n"))
     cues = timed.select("media_id", "_pos", start.alias("start"), end.alias("end"), text.alias("text"), good.alias("_good")).where("_good")
     return _numbered(cues).select("media_id", "idx", "start", "end", "text")
 
 
 def parse_srt(files: DataFrame, mode: str = "failfast") -> DataFrame:
-    """As ``parse_vtt`` for SRT. Blocks of fewer than three lines go. A malformed time stops the query ("failfast"), or
-    empties its file ("quarantine"), or drops its cue ("permissive")."""
+    """As ``parse_vtt`` for SRT, where nothing may follow the end. Blocks of fewer than three lines go. A malformed time
+    stops the query whatever columns it reads ("failfast"), or empties its file ("quarantine"), or drops its cue ("permissive")."""
     if mode not in ("failfast", "quarantine", "permissive"):
         raise ValueError(f"mode {mode!r}")
     blocks = files.select("media_id", F.posexplode(F.split(strip(one_line_ends("content")), "\n\n+")).alias("_pos", "_block"))
     lines = blocks.select("media_id", "_pos", F.split(strip("_block"), "\n").alias("_lines"))
-    timed = lines.where((F.size("_lines") >= 3) & F.contains(F.get("_lines", F.lit(1)), F.lit(ARROW)))
-    start, end, good = _range(F.get("_lines", F.lit(1)), srt_seconds)
-    cues = timed.select("media_id", "_pos", start.alias("start"), end.alias("end"), F.array_join(F.slice("_lines", F.lit(3), F.size("_lines")), "\n").alias("text"), good.alias("_good"), F.get("_lines", F.lit(1)).alias("_line"))
+    line = F.get("_lines", F.lit(1))
+    is_cue = F.coalesce((F.size("_lines") >= 3) & F.contains(line, F.lit(ARROW)), F.lit(False))
+    start, end, good = _range(line, srt_seconds, False)
     if mode == "failfast":
-        cues = cues.withColumn("start", F.when(F.col("_good"), F.col("start")).otherwise(F.raise_error(F.concat(F.lit("malformed time line: "), F.col("_line")))))
-    elif mode == "quarantine":
+        wrong = F.raise_error(F.concat(F.lit("malformed time line: "), line)).cast("boolean")
+        lines = lines.where(F.when(~is_cue, False).when(good, True).otherwise(wrong))
+    cues = lines.where(is_cue).select("media_id", "_pos", start.alias("start"), end.alias("end"), F.array_join(F.slice("_lines", F.lit(3), F.size("_lines")), "\n").alias("text"), good.alias("_good"))
+    if mode == "quarantine":
         cues = cues.withColumn("_good", F.min("_good").over(Window.partitionBy("media_id"))).where("_good")
-    else:
+    elif mode == "permissive":
         cues = cues.where("_good")
     return _numbered(cues).select("media_id", "idx", "start", "end", "text")
 
@@ -78,14 +84,17 @@ def read_srt(spark: SparkSession, path: str, mode: str = "failfast") -> DataFram
         return spark.createDataFrame([], "media_id long, idx long, start double, end double, text string")
 
 
-def read_subtitles(spark: SparkSession, path: str, other: str | None = None, mode: str = "failfast") -> DataFrame:
-    """By extension, with its case: .vtt, .srt; anything else as ``other`` says ("srt") or nothing."""
-    files = read_files(spark, path)
+def parse_by_name(files: DataFrame, other: str | None = None, mode: str = "failfast") -> DataFrame:
+    """media_id, path, content by extension, with its case: .vtt, .srt; anything else as ``other`` says ("srt") or nothing."""
     vtt = F.endswith("path", F.lit(".vtt"))
     srt = ~vtt if other == "srt" else F.endswith("path", F.lit(".srt"))
     return parse_vtt(files.where(vtt)).unionByName(parse_srt(files.where(srt), mode))
 
 
+def read_subtitles(spark: SparkSession, path: str, other: str | None = None, mode: str = "failfast") -> DataFrame:
+    return parse_by_name(read_files(spark, path), other, mode)
+
+
 def cue_block(number: Column, start: Column, end: Column, text: Column) -> Column:
     return F.concat(number.cast("string"), F.lit("\n"), format_timestamp(start), F.lit(f" {ARROW} "), format_timestamp(end), F.lit("\n"), strip(F.coalesce(text, F.lit(""))), F.lit("\n\n"))
 

@@ -1,7 +1,6 @@
-"""Random subtitle files and texts against plain loops."""
+"""Subtitle files built from known cues, and texts, at random: what comes back is what went in."""
 
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -9,69 +8,80 @@ from cuewright.functions import text as fn
 from cuewright.sources import subtitles as sub
 
 
-def clock(t):
-    p = t.split(":")
-    whole = lambda x: int(x) if re.fullmatch(r"\s*[+-]?\d+\s*", x) else None
-    part = lambda x: float(x) if re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", x) else None
-    if len(p) not in (2, 3):
-        return 0.0
-    v = [*map(whole, p[:-1]), part(p[-1])]
-    if None in v:
-        return None
-    return float(sum(x * 60 ** (len(v) - 1 - i) for i, x in enumerate(v)))
-
-
-def vtt_loop(content):
-    out = []
-    for block in re.sub("\r\n?", "\n", content).strip().split("\n\n"):
-        lines = block.strip().split("\n")
-        if lines[0].strip() == "WEBVTT" or lines[0].startswith("NOTE"):
-            continue
-        at = next((i for i, x in enumerate(lines) if "-->" in x), None)
-        if at is None:
-            continue
-        sides = lines[at].split(" --> ")
-        if len(sides) != 2:
-            continue
-        s, e = clock(sides[0]), clock(sides[1].split(" ")[0])
-        if s is not None and e is not None:
-            out.append((s, e, "\n".join(lines[at + 1 :]).strip()))
-    return out
+def stamp(ms, mark, short=False):
+    clock = f"{ms // 60_000 % 60:02}:{ms // 1000 % 60:02}{mark}{ms % 1000:03}"
+    return clock if short and ms < 3_600_000 else f"{ms // 3_600_000:02}:{clock}"
 
 
-def srt_loop(content):
-    out = []
-    for block in re.split("\n\n+", re.sub("\r\n?", "\n", content).strip()):
-        lines = block.strip().split("\n")
-        if len(lines) < 3 or "-->" not in lines[1]:
-            continue
-        sides = lines[1].replace(",", ".").split(" --> ")
-        v = [clock(sides[0]), clock(sides[1].split(" ")[0])] if len(sides) == 2 else [None]
-        if None not in v:
-            out.append((*v, "\n".join(lines[2:])))
+def cues(r):
+    out, at = [], 0
+    for _ in range(r.randint(0, 25)):
+        at += r.randint(0, 900_000)
+        until = at + r.randint(0, 9_999)
+        out.append((at, until, [" ".join(r.choice(["so", "it", "goes", "7", "été", "日本"]) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 3))]))
     return out
 
 
-def some_file(r, mark):
-    pieces = ["WEBVTT", "NOTE x", "", "", "", "\n", " ", "text", " two words ", "7", "00:00:01{0}500 --> 00:00:02{0}000", "00:01{0}5 --> 00:02{0}5 line:0", "1:2:3:4 --> 5", "aa:00 --> 00:01", "00:00:03{0}0 -->  00:00:04", "00:00:05{0}0 --> 00:00:06{0}0\tx", "-->", "100:00:00{0}25 --> 100:00:01"]
-    return r.choice(["", "WEBVTT\n\n", "﻿WEBVTT\n"]) + r.choice(["\n", "\r\n", "\r"]).join(r.choice(pieces).format(mark) for _ in range(r.randint(0, 60)))
+def expected(kept):
+    return [(s / 1000, e / 1000, "\n".join(lines)) for s, e, lines in kept]
+
+
+def vtt_file(r):
+    """(content, cues that a reader must find)"""
+    blocks, kept = [r.choice(["WEBVTT", "WEBVTT ", "NOTE no header"])], []
+    for s, e, lines in cues(r):
+        kind = r.random()
+        times = f"{stamp(s, '.', r.random() < 0.5)} --> {stamp(e, '.', r.random() < 0.5)}"
+        if kind < 0.1:
+            blocks.append(r.choice(["NOTE one", "NOTES2\nmore", "NOTE"]) + "\n" + times + "\n" + lines[0])
+        elif kind < 0.2:
+            blocks.append("\n".join(lines))  # no time
+        elif kind < 0.3:
+            blocks.append(r.choice(["aa:00 --> 00:01", times.replace(" --> ", "-->"), times + " --> 00:09", times.replace(".", "x")]) + "\n" + lines[0])
+        else:
+            empty = r.random() < 0.1
+            head = r.choice(["", "", "12\n", "a name\n", " \n"])
+            blocks.append(head + times + r.choice(["", "", " align:start line:0", " "]) + "".join(f"\n{x}" for x in ([] if empty else lines)))
+            kept.append((s, e, [] if empty else lines))
+    return "\n\n".join(blocks), expected(kept)
+
+
+def srt_file(r):
+    content, kept = "", []
+    for n, (s, e, lines) in enumerate(cues(r), 1):
+        kind = r.random()
+        times = f"{stamp(s, ',')} --> {stamp(e, ',')}"
+        if kind < 0.1:
+            content += f"{n}\n{times}"  # no text
+        elif kind < 0.2:
+            content += f"{n}\nno time\n{lines[0]}"
+        elif kind < 0.3:
+            content += f"{n}\n" + r.choice([times.replace(",", ",x"), times + " foo", "--> " + times, "oh:no --> 00:01"]) + f"\n{lines[0]}"
+        else:
+            wide = r.random() < 0.2
+            content += f"{n}\n" + (times.replace("> ", ">  ") if wide else times) + "\n" + "\n".join(lines)
+            kept.append((s, e, lines))
+        content += "\n" * r.randint(2, 4)
+    return content, expected(kept)
+
+
+def with_ends(r, content):
+    return r.choice(["", "\n", " \n\n"]) * (not content.startswith("WEBVTT ")) + content.replace("\n", r.choice(["\n", "\r\n", "\r"]))
 
 
 def rows(df):
     out = {}
     for r in df.orderBy("media_id", "idx").collect():
-        out.setdefault(r.media_id, []).append((r.start, r.end, r.text))
+        out.setdefault(r.media_id, []).append((round(r.start, 6), round(r.end, 6), r.text))
     return out
 
 
-def test_files_against_loops(spark):
+def test_cues_come_back(spark):
     r = random.Random(11)
-    vtt = [some_file(r, ".") for _ in range(300)]
-    got = rows(sub.parse_vtt(spark.createDataFrame(list(enumerate(vtt)), "media_id long, content string")))
-    assert got == {i: v for i, c in enumerate(vtt) if (v := vtt_loop(c))}
-    srt = [some_file(r, ",") for _ in range(300)]
-    got = rows(sub.parse_srt(spark.createDataFrame(list(enumerate(srt)), "media_id long, content string"), "permissive"))
-    assert got == {i: v for i, c in enumerate(srt) if (v := srt_loop(c))}
+    for make, parse in ((vtt_file, sub.parse_vtt), (srt_file, lambda f: sub.parse_srt(f, "permissive"))):
+        files = [make(r) for _ in range(200)]
+        df = spark.createDataFrame([(i, with_ends(r, c)) for i, (c, _) in enumerate(files)], "media_id long, content string")
+        assert rows(parse(df)) == {i: want for i, (_, want) in enumerate(files) if want}
 
 
 def test_strip_against_python(spark):
@@ -82,15 +92,11 @@ def test_strip_against_python(spark):
     assert {x.i: (x.s, x.r) for x in df.collect()} == {i: (t.strip(), t.rstrip()) for i, t in enumerate(texts)}
 
 
-def test_stamps_against_a_loop(spark):
+def test_stamps_of_whole_milliseconds(spark):
+    """Cut, never rounded: a stamp is at most a millisecond behind, and whole seconds are exact."""
     r = random.Random(13)
     values = [r.choice([r.random() * 10, r.random() * 5000, r.random() * 10**6, float(r.randint(0, 10**5))]) for _ in range(3000)]
-
-    def loop(s):
-        whole = int(s)
-        return f"{whole // 3600:02d}:{whole % 3600 // 60:02d}:{whole % 60:02d},{int((s - whole) * 1000):03d}"
-
     df = spark.createDataFrame(list(enumerate(values)), "i long, s double").select("i", fn.format_timestamp("s").alias("t"), fn.srt_seconds(fn.format_timestamp(F.col("s"))).alias("back"))
     for x in df.collect():
-        assert x.t == loop(values[x.i])
         assert 0 <= values[x.i] - x.back < 0.0011
+        assert x.t == stamp(round(x.back * 1000), ",") and (values[x.i] % 1 or x.t.endswith(",000"))
