@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import release, release_others, settle, settled_now
 from ..workers import ship
 
 #: ASCII white space; Java and Python regular expressions read it alike.
@@ -18,83 +14,19 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id, which so sorts before all others.
 NULL_ID = -(2**63)
-#: Rows of at most some 100 bytes that a settled table may have to be broadcast; a larger one is joined by a shuffle.
+#: Rows (or entries of lists) of at most some 100 bytes that a settled table may have to be broadcast; a larger one is joined by a shuffle.
 MAX_SENT = 100_000
 
-_scratch: dict[str, list[str]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named: a local one if all run in one process, else an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="cuewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: short lineage that survives lost executors.
-
-    The files go when ``release`` or ``release_others`` says so, at the latest when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    key = spark.sparkContext.applicationId
-    if key not in _scratch:
-        _scratch[key] = []
-        atexit.register(_sweep, spark, key)
-    _scratch[key].append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a settled table that nothing will read again."""
-    spark, path = df.sparkSession, df._settled_at
-    _scratch[spark.sparkContext.applicationId].remove(path)
-    _delete(spark, path)
-
-
-def settled_now(spark: SparkSession) -> set[str]:
-    """Marks what is settled, for ``release_others``."""
-    return set(_scratch.get(spark.sparkContext.applicationId, []))
-
-
-def release_others(keep: DataFrame, but: set[str]) -> None:
-    """Delete what was settled since ``but`` was marked, and is not ``keep``."""
-    spark = keep.sparkSession
-    left = _scratch[spark.sparkContext.applicationId]
-    for path in set(left) - but - {keep._settled_at}:
-        left.remove(path)
-        _delete(spark, path)
-
-
-def sent_if_small(settled: DataFrame, most: int = MAX_SENT) -> DataFrame:
-    """A settled table of short rows, to be broadcast if it has at most ``most`` of them. Parquet's footers tell how many."""
-    return F.broadcast(settled) if settled.count() <= most else settled
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _sweep(spark: SparkSession, key: str) -> None:
-    for path in _scratch.pop(key, []):
-        try:
-            _delete(spark, path)
-        except Exception:  # the context may be down already  # noqa: BLE001, S110
-            pass
+def sent_if_small(settled: DataFrame, weight: Column | None = None, most: int = MAX_SENT) -> DataFrame:
+    """A settled table of short rows, to be broadcast if it has at most ``most`` of them; where rows hold lists,
+    ``weight`` counts what is in them."""
+    n = settled.count() if weight is None else settled.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(settled) if n <= most else settled
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -168,3 +100,9 @@ def words(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+__all__ = [
+    "LOWER", "MAX_SENT", "NULL_ID", "SPACE", "SPACE_CHARS", "UPPER", "ascii_lower", "free_name", "keyed", "let", "once", "passed", "release", "release_others", "restored",
+    "sent_if_small", "settle", "settled_now", "slim", "small_batches", "table", "text_of", "words",
+]

@@ -1,14 +1,16 @@
 """Benchmark decontamination with built-in expressions only.
 
-A hash of every window of the benchmark's normalised words goes to all tasks while there are at most
-``MAX_BROADCAST`` of them (some 250 bytes each with its words); beyond that the same join is left to a shuffle. Documents stream their window
-hashes past it, and only hits leave that stage. A hit counts once the document's words there equal the window's, so
-a clash of hashes never does. Texts are read twice and moved only to be verified, if Spark does not find the hits
-small enough to send to them.
+The hashes of all windows of the benchmark's normalised words, one long each, go to all tasks while there are at most
+``MAX_BROADCAST`` of them (some 100 MB); beyond that the same join is left to a shuffle, of which adaptive execution
+splits a hash that very many documents hold. Documents are parted into words once, whatever lengths the windows have,
+and stream their window hashes past the set; only hits leave that stage. A hit counts once the document's words there
+equal the window's, so a clash of hashes never does. For that the texts of documents with hits are read again; no other
+text is moved while these documents are few enough to be named to all tasks (``common.MAX_SENT``).
 
 Null or empty texts have no words and no hits; items without words have no window. An item shorter than the window is
 one window of its own length. A null item_id is skipped in the item list but its windows hit. Null doc_ids and
-repeated rows: each row comes back once with its own verdict. Empty tables give empty results or no hits. Extra
+repeated rows: each row comes back once with its own verdict. Empty tables give empty results or no hits. A very long
+text is one row: a task holds its words, a hash for each and, where it is verified, its hits. Extra
 columns pass through ``decontaminate``.
 """
 
@@ -19,10 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, let, restored, settle, slim, text_of
+from .common import ascii_lower, keyed, let, restored, sent_if_small, settle, slim, text_of
 
 WINDOW = 10
-MAX_BROADCAST = 250_000
+MAX_BROADCAST = 4_000_000
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -49,20 +51,16 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def window_hits(docs: DataFrame, windows: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """_k, _v, pos, len, win where a document's window hash is one of ``windows`` (len, win, h; each once). Not verified."""
+    """_k, _v, pos, len, h where a document's window hash is one of ``windows`` (len, win, h; each once). Not verified."""
     lengths = sorted(r.len for r in windows.select("len").distinct().collect())  # at most as many as the window has words
-    hashes = windows.select("h", "len").distinct()
-    few = windows.count() <= max_broadcast
-
-    def probes(n: int) -> DataFrame:
-        return docs.select("_k", "_v", F.posexplode(let(norm_words(text_of()), lambda w: _window_hashes(w, n))).alias("pos", "h")).withColumn("len", F.lit(n))
-
-    at = [probes(n) for n in lengths]
-    if not at:
-        return docs.select("_k", "_v").limit(0).withColumns({"pos": F.lit(0), "len": F.lit(0), "win": F.array().cast("array<string>")})
-    rows = reduce(DataFrame.unionByName, at)
-    hits = rows.join(F.broadcast(hashes) if few else hashes, ["h", "len"])
-    return hits.join(F.broadcast(windows) if few else windows, ["h", "len"]).select("_k", "_v", "pos", "len", "win")
+    if not lengths:
+        return docs.select("_k", "_v").limit(0).withColumns({"pos": F.lit(0), "len": F.lit(0), "h": F.lit(0).cast("bigint")})
+    hashes = windows.select("h").distinct()
+    if windows.count() <= max_broadcast:
+        hashes = F.broadcast(hashes)
+    of_all = let(norm_words(text_of()), lambda w: F.array(*[F.struct(F.lit(n).alias("len"), _window_hashes(w, n).alias("hs")) for n in lengths]))
+    rows = docs.select("_k", "_v", F.inline(of_all)).select("_k", "_v", "len", F.posexplode("hs").alias("pos", "h"))
+    return rows.join(hashes, "h").select("_k", "_v", "pos", "len", "h")  # the length is part of the hash
 
 
 def _covered(hits: Column) -> Column:
@@ -73,25 +71,27 @@ def _covered(hits: Column) -> Column:
 
 
 def verified_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (as ``keyed`` gives it) with ``_hits`` (sorted array of pos, len, win; verified) and ``_n``; the item windows."""
+    """_k, _v, hits (sorted array of pos, len, win) of each document of ``docs`` (as ``keyed`` gives it) that has any; the item windows. Both settled."""
     own = settle(item_windows(items, window), "item-windows")
-    hits = window_hits(docs, own.select("len", "win", "h").distinct())
-    grouped = hits.groupBy("_k", "_v").agg(F.collect_set(F.struct("pos", "len", "win")).alias("_found"))
-    both = docs.join(grouped, ["_k", "_v"], "left").withColumn("_w", norm_words(text_of()))
-    true = F.filter("_found", lambda x: F.slice("_w", x["pos"] + 1, x["len"]) == x["win"])
-    return both.withColumns({"_n": F.size("_w"), "_hits": F.coalesce(F.sort_array(true), F.array().cast(both.schema["_found"].dataType))}).drop("_w", "_found"), own
+    wins = own.select("len", "win", "h").distinct()
+    found = settle(window_hits(docs, wins), "window-hits")
+    named = sent_if_small(settle(found.select("_k", "_v").distinct(), "hit-documents"))
+    texts = docs.join(named, ["_k", "_v"], "left_semi").dropDuplicates(["_k", "_v"]).select("_k", "_v", norm_words(text_of()).alias("w"))
+    per_doc = found.join(wins, ["len", "h"]).groupBy("_k", "_v").agg(F.collect_set(F.struct("pos", "len", "win")).alias("found"))
+    true = F.sort_array(F.filter("found", lambda x: F.slice("w", x["pos"] + 1, x["len"]) == x["win"]))
+    return settle(texts.join(per_doc, ["_k", "_v"]).select("_k", "_v", true.alias("hits")).where(F.size("hits") > 0), "hits"), own
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), items_sha256, contaminated."""
     d = keyed(docs.select("doc_id", "text"))
     found, own = verified_hits(d, items, window)
-    wins = F.transform(F.col("_hits"), lambda x: x["win"])
-    per_doc = settle(found.select("doc_id", "_k", "_v", F.col("_n").cast("bigint").alias("n_words"), _covered(F.col("_hits")).alias("n_hit"), F.array_distinct(wins).alias("_wins")), "contamination")
-    named = per_doc.where(F.size("_wins") > 0).select("_k", "_v", F.explode("_wins").alias("win")).distinct().join(own.select("win", "item_id").where("item_id is not null"), "win")
+    wins = found.select("_k", "_v", F.explode(F.array_distinct(F.transform("hits", lambda x: x["win"]))).alias("win"))
     # Sets of ids combine before the shuffle.
-    listed = named.groupBy("_k", "_v").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    out = per_doc.join(listed, ["_k", "_v"], "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+    listed = wins.join(own.select("win", "item_id").where("item_id is not null"), "win").groupBy("_k", "_v").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    per_doc = settle(found.select("_k", "_v", _covered(F.col("hits")).alias("n_hit")).join(listed, ["_k", "_v"], "left"), "contamination")
+    out = d.select("doc_id", "_k", "_v", F.size(norm_words(text_of())).cast("bigint").alias("n_words")).join(sent_if_small(per_doc, 1 + F.coalesce(F.size("item_ids"), F.lit(0))), ["_k", "_v"], "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("bigint")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids")
 
 
@@ -99,12 +99,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "document", win
     """``docs`` without the contaminated documents (mode "document") or without the words that are hit (mode "span")."""
     if mode not in ("document", "span"):
         raise ValueError(f"mode {mode!r}")
-    found, _ = verified_hits(keyed(slim(docs)), items, window)
+    d = keyed(slim(docs))
+    found, _ = verified_hits(d, items, window)
     if mode == "document":
-        return restored(found.where(F.size("_hits") == 0), docs.columns)
-    hit = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
+        return restored(d.join(sent_if_small(settle(found.select("_k", "_v"), "contaminated")), ["_k", "_v"], "left_anti"), docs.columns)
+    spans = settle(found.select("_k", "_v", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))).alias("hit")), "hit-words")
+    both = d.join(sent_if_small(spans, F.size("hit")), ["_k", "_v"], "left")
     said = F.regexp_extract_all(text_of(), F.lit(f"({WORD})"), F.lit(1))
     # Gap 0, then each word (unless hit) with the gap behind it. Hits as a map: one look-up for each word.
     gaps = F.split(text_of(), WORD)
-    lost = let(F.map_from_arrays(hit, F.transform(hit, lambda _: F.lit(True))), lambda m: let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(said, lambda x, i: F.concat(F.when(F.try_element_at(m, i).isNull(), x).otherwise(""), F.get(g, i + 1))), ""))))
-    return found.withColumn("text", F.when(F.size("_hits") == 0, F.col("text")).otherwise(lost)).transform(restored, docs.columns)
+    lost = let(F.map_from_arrays("hit", F.transform("hit", lambda _: F.lit(True))), lambda m: let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(said, lambda x, i: F.concat(F.when(F.try_element_at(m, i).isNull(), x).otherwise(""), F.get(g, i + 1))), ""))))
+    return both.withColumn("text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(lost)).transform(restored, docs.columns)
