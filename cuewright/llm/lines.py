@@ -4,11 +4,12 @@ Rows (hash of a line's key, document, position) are range-partitioned and sorted
 billions of copies spreads over many tasks. Each task streams its rows and decides every run of one hash that lies
 inside it. Runs that touch a task's edge, or outgrow one batch, stay open: a map-side combined count settles them
 (one row for each such hash). Decisions come back as one compressed keep bitmap for each document that loses
-lines; text is never moved in the first half.
+lines; text is never moved in the first half. The rows are settled before they are sorted, as the range partitioner reads them twice.
 
 A null or empty text is one empty line. Keys of fewer than ``MIN_CHARS`` code points never go, so blank lines stay.
 A null doc_id is the smallest. Rows of one doc_id are one document for counting, and each row loses the same keys;
-equal rows get equal results. An empty table gives an empty result. Extra columns pass through ``drop_lines``.
+equal rows count once, cost one row and get equal results. An empty table gives an empty result. A very long text is
+split into its lines in one task. Extra columns pass through ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, keyed, passed, restored, settle, slim, small_batches, text_of
+from .common import SPACE_CHARS, ascii_lower, keyed, once, passed, release, restored, settle, slim, small_batches, text_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: A run with more rows than this is settled by the combined count instead of being held in memory.
@@ -95,10 +96,12 @@ def run_verdicts(min_docs: int):
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_k, _v, pos of each line to drop. ``docs`` as ``keyed`` gives it."""
+    """_k, _v, pos of each line to drop, once. ``docs`` as ``keyed`` gives it."""
     small_batches(docs.sparkSession)
-    rows = line_rows(docs, min_chars).repartitionByRange("h1", "h2", "_k").sortWithinPartitions("h1", "h2", "_k", "pos")
+    hashed = settle(line_rows(once(docs), min_chars), "line-hashes")
+    rows = hashed.repartitionByRange("h1", "h2", "_k").sortWithinPartitions("h1", "h2", "_k", "pos")
     found = settle(rows.mapInArrow(run_verdicts(min_docs), "h1 long, h2 long, _k long, _v long, pos int, open boolean"), "line-runs")
+    release(hashed)
     unsure = found.where("open")
     # A document is one for each (hash, _k): the first aggregation drops its repeats, the second counts; both combine before they shuffle.
     counts = unsure.groupBy("h1", "h2", "_k").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.sum("one").alias("docs"), F.max("_k").alias("last")).where(F.col("docs") >= min_docs)

@@ -45,3 +45,18 @@ def test_empty_and_odd(none, odd):
     got = [tuple(r) for r in lines.line_digest(odd).collect()]
     assert len(got) == 8 and not sum(r[2] for r in got)  # its line is in two documents only
     assert lines.drop_lines(odd).columns == odd.columns
+
+
+def test_equal_rows_and_long_texts(spark):
+    """Very many copies of one row count once; a text of very many lines keeps its own."""
+    line = "a line that some documents have in common"
+    long = "\n".join([line] + [f"own line number {i} of the long one" for i in range(150_000)] + [line])
+    rows = [(None, f"{line}\nx")] * 500 + [(3, f"{line}\ny")] * 200 + [(3, "z")] + [(1, long), (9, line)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped) for r in lines.line_digest(d).collect()), key=repr)
+    assert got == sorted([(None, 2, 1)] * 500 + [(3, 2, 1)] * 200 + [(3, 1, 0), (1, 150_002, 2), (9, 1, 0)], key=repr)
+    from cuewright.llm.common import keyed, once
+
+    gone = lines.dropped_lines(keyed(d)).collect()
+    assert len(gone) == len(set(gone)) == 4
+    assert once(keyed(d)).count() == 5
