@@ -3,7 +3,7 @@
 Every measure is an expression over one row, so the operator is a single narrow stage: no shuffle, no Python, nothing
 kept between rows; a task's memory is that of its longest text. A null or empty text has no words: all measures are 0
 and the base rule (at least ``MIN_WORDS`` words) rejects it. Ties, repeated rows and null ids change nothing, as each
-row is judged alone; an empty table stays empty. Extra columns pass through; one named like a measure is replaced.
+row is judged alone; an empty table stays empty. Extra columns pass through; one named like a measure or verdict is replaced.
 """
 
 from __future__ import annotations
@@ -117,13 +117,15 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every measure, ``failed_rules`` (names) and ``kept``."""
+    """``docs`` with every measure, ``base_failed``, ``failed_rules`` (names) and ``kept``."""
     m = measures(text_of())
-    out = docs.withColumn("_w", words(text_of())).withColumns(m).withColumns(ratios())
+    out = slim(docs).withColumn("_w", words(text_of())).withColumns(m).withColumns(ratios())
     out = out.withColumns({"base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")), "failed_rules": verdict(rules)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).drop("_w", "_n_lines")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
+    return restored(out, docs.columns, extra=(*(c for c in m if c != "_n_lines"), *ratios(), "base_failed", "failed_rules", "kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    return restored(quality_rules(slim(docs), rules).where("kept"), docs.columns)
+    all_ = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return quality_rules(all_, rules).where("kept").select("_row.*")

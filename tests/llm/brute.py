@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import xxhash
@@ -53,6 +54,18 @@ def quality_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(twice)
 
 
+def quality_kept(text, stop_words):
+    """The rule table, by a loop."""
+    n, chars, symbols, dup_lines, repeats = quality_base(text)
+    if n < 50 or 100 * repeats > 50 * n:
+        return False
+    w = words(text)
+    n_lines = sum(bool(words(x)) for x in text.split("\n"))
+    stops = {x for s in stop_words for x in (s, s.capitalize())}
+    alphabetic = sum(any(unicodedata.category(c)[0] == "L" for c in x) for x in w)
+    return 2.5 <= chars / n <= 12 and symbols / n <= 0.1 and sum(x in stops for x in w) / n >= 0.02 and dup_lines / max(n_lines, 1) <= 0.5 and alphabetic / n >= 0.7
+
+
 def fingerprint(text):
     w = (text or "").encode().translate(LOW).split()
     sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []

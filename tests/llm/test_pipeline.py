@@ -1,4 +1,5 @@
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -6,8 +7,10 @@ import pytest
 
 import corpus_pipeline
 from cuewright.llm import mixing, queries, quality
+from cuewright.llm.common import settled_now
 
 from . import brute
+from .conftest import SCHEMA
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,10 +31,7 @@ def small(spark, tmp_path_factory, rows):
 
 def test_pipeline_against_loops(spark, small):
     sf, docs, items = small
-    kept_ids = {r.doc_id for r in quality.quality_rules(spark.createDataFrame([(d[0], d[1]) for d in docs], "doc_id long, text string")).where("kept").collect()}
-    for d in docs:  # the base rules again, by a loop
-        n = brute.quality_base(d[1])
-        assert d[0] not in kept_ids or not (n[0] < 50 or 100 * n[4] > 50 * n[0])
+    kept_ids = {d[0] for d in docs if brute.quality_kept(d[1], quality.STOP_WORDS)}
     now = [(d[0], d[1]) for d in docs if d[0] in kept_ids]
     stripped = []
     holders = {}
@@ -90,3 +90,40 @@ def test_names():
     import re
 
     assert {re.match(r"op(\d+)_", n)[1] for n in queries.queries()} == {str(i) for i in range(1, 11)}
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, rows alike, null and empty texts, columns named like the operators' own; one source, so that the mix takes all once."""
+    r = random.Random(3)
+    vocab = [a + b for a in ("ka", "lo", "mi", "ter", "su", "re") for b in ("na", "to", "ri", "sen", "da", "we", "lu")] + ["the", "of", "and", "to"] * 4
+    t = [" ".join(r.choice(vocab) for _ in range(90)) + "." for _ in range(9)]
+    texts = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[0]), (7, t[3]), (7, t[4]), (9, t[5]), (9, t[5]), (10, t[6]), (11, t[6]), (3, t[0]), (12, None), (13, ""), (14, t[7]), (None, None), (15, t[8] + "\nAn end that three of these have."), (16, t[7] + "\nAn end that three of these have."), (7, t[3] + "\nAn end that three of these have.")]
+    rows = [(d, x, "en", "s", len(x or ""), f"own {i}", i, "k", i) for i, (d, x) in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA + ", shard string, copy int, _keep string, hits int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "not in any of these")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "shard", "copy", "_keep", "hits", "shard_", "copy_"]
+    end = "\nAn end that three of these have."  # in documents 7, 15 and 16: it stays in 16
+    now = [(d, x.removesuffix(end) if d != 16 else x) for d, x in texts if x]
+    label = brute.linked([brute.fingerprint(x) for _, x in now], [brute.fingerprint(x) for _, x in now])
+    least = {}
+    for (d, _), c in zip(now, label, strict=True):
+        least[c] = min(least.get(c, 10**9), -1 if d is None else d)
+    group = {x: c for (_, x), c in zip(now, label, strict=True)}
+    got = out.collect()
+    assert sorted((group[x.text], -1 if x.doc_id is None else x.doc_id) for x in got) == sorted(least.items())
+    assert all(x["shard"] == f"own {x['hits']}" and x["copy"] == x["hits"] and x["copy_"] == 0 for x in got)
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == len(got)
+
+
+def test_run_on_empty_tables(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_run_leaves_only_its_result(spark, small):
+    sf, _, _ = small
+    before = settled_now(spark)
+    out = corpus_pipeline.run(spark, sf)
+    assert settled_now(spark) - before == {out._settled_at} and out.count() > 0

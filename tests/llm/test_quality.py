@@ -31,3 +31,15 @@ def test_empty_and_odd(none, odd):
     assert quality.quality_rules(none).count() == 0
     assert quality.keep_good(odd).columns == odd.columns
     assert quality.quality_rules(odd).count() == 8
+
+
+def test_own_columns_and_long_texts(spark):
+    """Columns named like the operator's inner ones stay; a very long text is measured whole."""
+    long = " ".join(f"word{i} of the" for i in range(120_000)) + " $"
+    d = spark.createDataFrame([(1, PROSE, "u", 5, "n"), (2, long, "v", 6, "m")], "doc_id long, text string, _w string, _n_lines int, n_words string")
+    out = quality.quality_rules(d)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1]._w == "u" and got[2]._n_lines == 6 and got[2].n_words == 360_001 and got[2].n_symbols == 1
+    assert out.columns.count("n_words") == 1 and out.columns[:4] == ["doc_id", "text", "_w", "_n_lines"]
+    kept = quality.keep_good(d)
+    assert kept.columns == d.columns and kept.where("doc_id = 1").first().n_words == "n"
