@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.llm.common import settle, table
+from cuewright.llm.common import release_others, settle, settled_now, table
 from cuewright.llm.decontaminate import decontaminate
 from cuewright.llm.lines import drop_lines
 from cuewright.llm.mixing import mix
@@ -47,7 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage settled on its way goes when its result is there, and so does its input.
+
+    A null or empty text fails the quality rules, so none comes out. Null doc_ids are kept, and rows of one doc_id with
+    unlike texts are documents of their own; of rows alike in both, as of any near duplicates, one stays. Extra columns
+    pass through whatever their names; the mix adds ``shard`` and ``copy`` (with _ behind where there are such). Empty
+    tables give an empty result. Ties fall by doc_id and by hashes, the same in every run.
+    """
+    docs, before = table(spark, sf_dir, "documents"), settled_now(spark)
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release_others(docs, before)
     return docs
