@@ -1,7 +1,7 @@
 """Benchmark decontamination with built-in expressions only.
 
 The hashes of all windows of the benchmark's normalised words, one long each, go to all tasks while there are at most
-``MAX_BROADCAST`` of them (some 100 MB); beyond that the same join is left to a shuffle, of which adaptive execution
+``MAX_BROADCAST`` of them (some 130 MB); beyond that the same join is left to a shuffle, of which adaptive execution
 splits a hash that very many documents hold. Documents are parted into words once, whatever lengths the windows have,
 and stream their window hashes past the set; only hits leave that stage. A hit counts once the document's words there
 equal the window's, so a clash of hashes never does. For that the texts of documents with hits are read again; no other
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, keyed, let, restored, sent_if_small, settle, slim, text_of
 
 WINDOW = 10
-MAX_BROADCAST = 4_000_000
+MAX_BROADCAST = 2_000_000
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 

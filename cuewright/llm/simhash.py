@@ -288,11 +288,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest doc_id, in one copy."""
     d = keyed(slim(docs))
     found = near_duplicates(d.select("doc_id", "text", "_k", "_v"))
-    # By group, not by _k: groups that share their smallest doc_id (null, or one given twice) each keep a document.
-    first = found.where("_k = component").groupBy("root").agg(F.min("_v").alias("_first"))
+    again = d.select("_v").where("_v <> 0").limit(1).count()
+    gone = found.where("_k <> component").select("_k", "_v")
+    if again:
+        # By group, not by _k: groups that share their smallest doc_id (null, or one given twice) each keep a document.
+        first = found.where("_k = component").groupBy("root").agg(F.min("_v").alias("_first"))
+        others = found.where("_k = component").join(first, "root").where("_v <> _first")
+        gone = gone.unionByName(others.select("_k", "_v")).distinct()
     # The others go by their keys, of which there are fewer than of those that stay.
-    gone = found.join(first, "root").where((F.col("_k") != F.col("component")) | (F.col("_v") != F.col("_first"))).select("_k", "_v").distinct()
     kept = d.join(sent_if_small(settle(gone, "near-duplicates")), ["_k", "_v"], "left_anti")
-    if d.select("_v").where("_v <> 0").limit(1).count():  # rows of one doc_id with one text: keep one
+    if again:  # rows of one doc_id with one text: keep one
         kept = kept.dropDuplicates(["_k", "_v"])
     return restored(kept, docs.columns)
