@@ -93,8 +93,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, downl
         one_file(source, a.out)
         return 0
     config = load_config(a.config)
-    language = first_setting(a.language, config.get("default_target_language"), default="Simplified Chinese")
-    model = first_setting(a.model, config.get("model"), default="gpt-4o-mini")
+    language = first_setting(a.language, os.environ.get("DEFAULT_TARGET_LANGUAGE"), config.get("default_target_language"), default="Simplified Chinese")
+    model = first_setting(a.model, os.environ.get("OPENAI_MODEL"), config.get("model"), default="gpt-4o")
     key = safe_key(first_setting(os.environ.get("OPENAI_API_KEY"), config.get("openai_api_key")))
     url = a.url
     done = settle(translate(source, lambda: ChatTranslator(key, language, model, url)), "translated")  # asked once for both files
