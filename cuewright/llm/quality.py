@@ -128,4 +128,6 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
     all_ = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return quality_rules(all_, rules).where("kept").select("_row.*")
+    judged = quality_rules(all_, rules).select("_row", "kept")
+    # A generator, as a filter would go below the projection and take the text apart once for each measure.
+    return judged.select(F.explode(F.filter(F.array("_row"), lambda _: F.col("kept"))).alias("_row")).select("_row.*")
